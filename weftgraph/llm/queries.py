@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontam, langid, mpeg, suffix
+from . import bpe, common, decontam, langid, minhash, mpeg, suffix
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -30,12 +30,16 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(common.table(spark, sf_dir, "documents"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.grouped(common.table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_langid, op4_decontam, op7_suffix, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op3_langid, op4_decontam, op7_suffix, op8_minhash, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
