@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontam, langid, minhash, mpeg, suffix
+from . import bpe, common, decontam, langid, lines, minhash, mpeg, quality, suffix
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(common.table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(common.table(spark, sf_dir, "documents"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = langid.fitted(docs.where(~langid.held_out()))
@@ -34,12 +38,18 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.grouped(common.table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    weights, _ = quality.fitted(docs)
+    return quality.scored(docs, weights)
+
+
 def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media(common.table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_langid, op4_decontam, op7_suffix, op8_minhash, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op2_lines, op3_langid, op4_decontam, op7_suffix, op8_minhash, op9_quality, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
