@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, decontam, langid, lines, minhash, mpeg, quality, suffix
+from . import bpe, common, decontam, langid, licenses, lines, minhash, mpeg, quality, secrets, suffix
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -30,6 +30,14 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(common.table(spark, sf_dir, "documents"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(common.table(spark, sf_dir, "documents"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removed(common.table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_lines, op3_langid, op4_decontam, op7_suffix, op8_minhash, op9_quality, op10_mpeg)}
+    return {f.__name__: f for f in (op1_bpe, op2_lines, op3_langid, op4_decontam, op5_secrets, op6_licenses, op7_suffix, op8_minhash, op9_quality, op10_mpeg)}
 
 
 def oracle_sql() -> dict[str, str]:
