@@ -43,76 +43,125 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.bytes = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, left: int, right: int) -> int:
-        """Rank of the token that the pair makes, or -1."""
-        rank = self.pairs.get((left, right))
-        if rank is None:
-            rank = self.pairs[left, right] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
-
-    def encode(self, vocabulary: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(vocabulary)
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        owner: list[int] = []
-        firsts: list[tuple[int, int]] = []
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.width = np.int64(max(ranks.values()) + 1)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left * int(self.width) + right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.values = np.array([pairs[k] for k in self.keys.tolist()] + [-1], np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that each pair of symbols makes, or -1."""
+        wanted = left * self.width + right
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == wanted, self.values[at], -1) if len(self.keys) else np.full(len(wanted), -1)
+
+    def encode(self, vocabulary: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word. A word that is a token as a whole is that token."""
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(vocabulary)
+        rest = []
         for w, word in enumerate(vocabulary):
             if (whole := self.ranks.get(word)) is not None:
-                out[w] = [whole]
-                continue
-            first, n = len(symbols), len(word)
-            firsts.append((w, first))
-            symbols += [self.bytes[b] for b in word]
-            before += [-1, *range(first, first + n - 1)]
-            after += [*range(first + 1, first + n), -1]
-            owner += [w] * n
-        index: dict[int, list[int]] = {}
+                out[w] = np.array([whole], "<u4")
+            elif word:
+                rest.append(w)
+        if not rest:
+            return out
+        sizes = np.array([len(vocabulary[w]) for w in rest])
+        symbols = self.bytes[np.frombuffer(b"".join(vocabulary[w] for w in rest), np.uint8)]
+        self._replay(symbols, sizes)
+        alive = symbols >= 0
+        ends = np.cumsum(np.add.reduceat(alive, np.cumsum(sizes) - sizes))
+        ids = symbols[alive].astype("<u4")
+        for w, start, stop in zip(rest, [0, *ends[:-1].tolist()], ends.tolist()):
+            out[w] = ids[start:stop]
+        return out
+
+    def _replay(self, symbols: np.ndarray, sizes: np.ndarray) -> None:
+        """Merge symbols in place: a merged pair's first position takes the new id, its second one -1."""
+        n = len(symbols)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ends = np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        pair = np.full(n, -1)  # rank of the merge of the pair that begins at each position
+        open_ = np.flatnonzero(after >= 0)
+        pair[open_] = self.merged(symbols[open_], symbols[open_ + 1])
+        index: dict[int, list[np.ndarray]] = {}
         heap: list[int] = []
-        merged = self.merged
-
-        def enter(rank: int, place: int) -> None:
-            if (places := index.get(rank)) is None:
-                index[rank] = [place]
-                heappush(heap, rank)
-            else:
-                places.append(place)
-
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := merged(symbols[i], symbols[j])) >= 0:
-                enter(rank, i)
+
+        def enter(places: np.ndarray) -> None:
+            ranks = pair[places]
+            places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+            if len(places) > 1:
+                order = np.argsort(ranks, kind="stable")
+                places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            bounds = [0, *cuts.tolist(), len(ranks)]
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                if b > a:
+                    rank = int(ranks[a])
+                    if rank in index:
+                        index[rank].append(places[a:b])
+                    else:
+                        index[rank] = [places[a:b]]
+                        heappush(heap, rank)
+
+        enter(open_)
         while heap:
             rank = heappop(heap)
-            waiting: set[int] = set()  # words in which an earlier rank has come up: it goes first there
-            for i in sorted(index.pop(rank)):
-                j = after[i]
-                if j < 0 or symbols[i] < 0 or merged(symbols[i], symbols[j]) != rank:
-                    continue
-                if owner[i] in waiting:
-                    enter(rank, i)
-                    continue
-                symbols[i], symbols[j] = rank, -1
-                k = after[i] = after[j]
-                if k >= 0:
-                    before[k] = i
-                    if (new := merged(rank, symbols[k])) >= 0:
-                        enter(new, i)
-                        if new < rank:
-                            waiting.add(owner[i])
-                if (p := before[i]) >= 0 and (new := merged(symbols[p], rank)) >= 0:
-                    enter(new, p)
-                    if new < rank:
-                        waiting.add(owner[i])
-        for w, i in firsts:
-            ids = []
-            while i >= 0:
-                ids.append(symbols[i])
-                i = after[i]
-            out[w] = ids
-        return out  # type: ignore[return-value]
+            parts = index.pop(rank)
+            left = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            left = left[pair[left] == rank]
+            if not len(left):
+                continue
+            right, places = after[left], left
+            if len(left) > 1 and (chained := left[1:] == right[:-1]).any():
+                # Overlapping occurrences: from the left, every second one.
+                place = np.arange(len(left))
+                begin = np.maximum.accumulate(np.where(np.concatenate([[True], ~chained]), place, 0))
+                left = left[(place - begin) % 2 == 0]
+                right = after[left]
+            if len(left) > 1 and (again := owner[left[1:]] == owner[left[:-1]]).any():
+                left = self._in_turn(rank, places, left, right, again, symbols, after, before, owner, index, heap)
+                right = after[left]
+            beyond = after[right]
+            symbols[left], symbols[right], pair[right] = rank, -1, -1
+            after[left] = beyond
+            inner = beyond >= 0
+            before[beyond[inner]] = left[inner]
+            pair[left] = -1
+            pair[left[inner]] = self.merged(symbols[left[inner]], symbols[beyond[inner]])
+            ahead = before[left]
+            ahead = ahead[ahead >= 0]
+            pair[ahead] = self.merged(symbols[ahead], np.full(len(ahead), rank))
+            enter(np.concatenate([left, ahead]))
+
+    def _in_turn(self, rank, places, left, right, again, symbols, after, before, owner, index, heap) -> np.ndarray:
+        """The occurrences to merge now. Where one merge in a word brings up a pair of an earlier rank, that pair goes
+        first: only the word's first occurrence is merged, the others are entered again."""
+        beyond, ahead = after[right], before[left]
+        touching = np.concatenate([[False], left[1:] == beyond[:-1]])
+        early = np.zeros(len(left), bool)
+        inner = np.flatnonzero(beyond >= 0)
+        new = self.merged(np.full(len(inner), rank), symbols[beyond[inner]])
+        early[inner] |= (new >= 0) & (new < rank)
+        inner = np.flatnonzero(ahead >= 0)
+        new = self.merged(np.where(touching[inner], rank, symbols[ahead[inner]]), np.full(len(inner), rank))
+        early[inner] |= (new >= 0) & (new < rank)
+        if not early.any():
+            return left
+        words = owner[left[early]]
+        wait = np.concatenate([[False], again]) & np.isin(owner[left], words)
+        index[rank] = [places[np.isin(owner[places], words)]]
+        heappush(heap, rank)
+        return left[~wait]
 
 
 class Tokenizer:
@@ -136,7 +185,7 @@ class Tokenizer:
             new.update(set(each).difference(known))
         vocabulary = sorted(new)
         for word, ids in zip(vocabulary, self.replay.encode([w.encode() for w in vocabulary])):
-            known[word] = np.array(ids, "<u4").tobytes()
+            known[word] = ids.tobytes()
         out = [b"".join(map(known.__getitem__, each)) for each in found]
         for word in vocabulary:
             if len(word) > MEMORY_LENGTH:
@@ -154,7 +203,7 @@ def _workers(df: DataFrame, vocabulary: str, pattern: str, emit, schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value, pattern)
-        for block in common.blocks(batches, "text"):
+        for block in common.blocks(batches, "text", 2 * common.BLOCK_BYTES):
             yield emit(tokenizer, block)
 
     return df.mapInArrow(run, schema)
