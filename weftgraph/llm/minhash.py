@@ -3,11 +3,15 @@
 1. Each text becomes the set of its distinct shingles. One hash of each shingle picks a bin (its top bits) and competes
    there by its value; empty bins borrow from a bin that a fixed random sequence leads to (optimal densification).
 2. Equal sets are grouped first; one representative of each group goes on.
-3. Bands of the signature are bucket keys. In every bucket one member, picked by the bucket's own random order, is the
-   centre of a star: pairs are bounded by the number of members. Pairs are confirmed on the full shingle sets.
-4. Confirmed links make components (large-star, small-star). Where a bucket then still spans several components, the
-   pairs across components with a member outside the centre's component are confirmed too, so that no link between
-   members of a bucket is lost.
+3. Bands of the signature are bucket keys. In every bucket the smallest member is the centre of a star: pairs are
+   bounded by the number of members. Pairs are confirmed on the full shingle sets.
+4. A link between two members that are not both linked to their centre c needs shared differences from c: with d
+   shingles of c missing and a others added, W = 100 d + p a for a threshold of p percent, and s shared differences,
+   x and y are linked exactly if (100 + p) s >= W(x) + W(y) - (100 - p) |c|, where W(x) > (100 - p) |c| for an x
+   that is not linked to c. So y shares (W(y) + 1) / (100 + p) of its differences at least, and one of its first ones
+   (prefix filter) is among those of x. Pairs that meet there are confirmed on the full sets: no link inside a bucket
+   is lost, and copies that differ in places of their own make no pairs.
+5. Confirmed links make components (large-star, small-star).
 
 With 32 bands of 4 rows a pair at similarity 0.85 shares no bucket with probability 5e-11, at 0.8 with 5e-8.
 
@@ -149,20 +153,19 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(sizes & (F.col("n_b") * 100 >= F.col("n_a") * percent)).mapInArrow(run, "a long, b long")
 
 
+def _sets_of(batch: pa.RecordBatch, name: str, size: int) -> list[np.ndarray]:
+    data, offsets = common.utf8(batch.column(name))
+    text, value = shingle_sets(data, offsets, size)
+    return np.split(value, np.searchsorted(text, np.arange(1, len(offsets) - 1)))
+
+
 def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose full sets meet the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.blocks(batches, "text_b", common.BLOCK_BYTES // 2):
-            sides = []
-            for name in ("text_a", "text_b"):
-                data, offsets = common.utf8(batch.column(name))
-                text, value = shingle_sets(data, offsets, size)
-                sides.append((value, np.searchsorted(text, np.arange(len(offsets)))))
-            (va, ea), (vb, eb) = sides
             good = []
-            for i in range(batch.num_rows):
-                x, y = va[ea[i] : ea[i + 1]], vb[eb[i] : eb[i + 1]]
+            for x, y in zip(_sets_of(batch, "text_a", size), _sets_of(batch, "text_b", size)):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -170,6 +173,28 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _compared(stars: DataFrame, size: int, percent: int) -> DataFrame:
+    """Members (b) against their centre (a): linked, and the differences that another member has to share: probe of a
+    member that is not linked, index of any member. Added shingles come first, then missing ones, both by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.blocks(batches, "text_b", common.BLOCK_BYTES // 2):
+            linked, probes, indexes = [], [], []
+            for c, x in zip(_sets_of(batch, "text_a", size), _sets_of(batch, "text_b", size)):
+                added, missing = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
+                differences = np.concatenate([added, ~missing])  # a bijection keeps the two kinds apart
+                n, weight = len(differences), 100 * len(missing) + percent * len(added)
+                excess = weight - (100 - percent) * len(c)
+                linked.append(excess <= 0)
+                first = n - -(-(weight + 1) // (100 + percent)) + 1
+                indexes.append(differences[: max(0, first)].view(np.int64))
+                probes.append(differences[: max(0, n - max(1, -(-excess // (100 + percent))) + 1)].view(np.int64) if excess > 0 else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (probes, indexes)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists], names=["a", "b", "linked", "probe", "index"])
+
+    return stars.mapInArrow(run, "a long, b long, linked boolean, probe array<long>, index array<long>")
+
+
 def components(spark, edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): the smallest node that each can reach; large-star and small-star in turn.
 
@@ -203,40 +228,31 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_i
     reps = sets.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     reps = common.stored(spark, reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "bins"), "representatives")
 
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        own = common.stored(spark, texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+        a, b = (own.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
+        return pairs.join(a, "a").join(b, "b")
+
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    # A bucket's centre is its least member in an order of the bucket's own; xor gives that order as a plain minimum.
-    turned = F.col("rep").bitwiseXOR(F.shiftrightunsigned("bucket", 2))
-    stars = buckets.groupBy("bucket").agg(F.min(turned).alias("turned"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = common.stored(spark, stars.select("bucket", F.col("turned").bitwiseXOR(F.shiftrightunsigned("bucket", 2)).alias("centre")), "stars")
-    members = common.stored(spark, buckets.join(stars, "bucket"), "members")
-    pairs = members.where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = reps.select("rep", "n", "bins")
-        a, b = (side.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab")
-        likely = common.stored(spark, _likely(pairs.join(a, "a").join(b, "b"), percent), "likely")
-        wanted = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
-        texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-        texts = common.stored(spark, texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
-        a, b = (texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-        return common.stored(spark, _confirmed(likely.join(a, "a").join(b, "b"), size, percent), "links")
-
-    links = confirm(pairs)
+    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = common.stored(spark, centres.select("bucket", "centre"), "centres")
+    stars = buckets.join(centres, "bucket").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    compared = common.stored(spark, _compared(with_texts(common.stored(spark, stars, "stars")), size, percent), "compared")
+    links = compared.where("linked").select("a", "b")
+    strays = compared.where("NOT linked").select("a", F.col("b").alias("x"), F.explode("probe").alias("difference"))
+    loose = compared.where("NOT linked").select("a").distinct()
+    others = compared.join(loose, "a", "left_semi").select("a", F.col("b").alias("y"), F.explode("index").alias("difference"))
+    met = strays.join(others, ["a", "difference"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = reps.select("rep", "n", "bins")
+    a, b = (side.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab")
+    likely = common.stored(spark, _likely(common.stored(spark, met, "met").join(a, "a").join(b, "b"), percent), "likely")
+    if not likely.isEmpty():
+        links = links.unionByName(common.stored(spark, _confirmed(with_texts(likely), size, percent), "links"))
     labels = common.stored(spark, components(spark, links), "components")
     label = F.coalesce("component", "rep")
-    named = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "centre", "rep", label.alias("component"))
-    named = common.stored(spark, named, "named")
-    split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    mixed = named.join(split, "bucket", "left_semi")
-    home = mixed.where("rep = centre").select("bucket", F.col("component").alias("home"))
-    mixed = common.stored(spark, mixed.join(home, "bucket"), "mixed")
-    if not mixed.isEmpty():
-        outside = mixed.where("component <> home and rep <> centre").select("bucket", F.col("rep").alias("x"), F.col("component").alias("c"))
-        others = mixed.where("rep <> centre").select("bucket", F.col("rep").alias("y"), F.col("component").alias("d"), F.col("home"))
-        across = outside.join(others, "bucket").where("c <> d and (d = home or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = confirm(across)
-        if not more.isEmpty():
-            labels = common.stored(spark, components(spark, links.unionByName(more)), "components")
 
     by_set = groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", label.alias("own"))
     by_set = common.stored(spark, by_set, "classes")
