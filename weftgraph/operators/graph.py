@@ -13,6 +13,8 @@ from ..work import stored
 
 #: Edges up to which the order-dependent community search runs in one task; above it labels spread in parallel.
 COMMUNITY_EDGES = 200_000
+#: Rounds of ranking that run as one job.
+STRETCH = 5
 #: Vertices above which betweenness is 0, and up to which every vertex is a pivot.
 BETWEENNESS_MOST, BETWEENNESS_EXACT, PIVOTS = 200_000, 1500, 128
 
@@ -76,9 +78,12 @@ def shortest_path(spark: SparkSession, edges: DataFrame, start: str, end: str, m
 
 
 def pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 50, seeds: dict[str, float] | None = None) -> DataFrame:
-    """(id, rank). Parallel edges count each; mass of vertices without out-edges is spread as the teleport is.
+    """(id, rank) after fixed rounds. Parallel edges count each; vertices without out-edges spread their mass as the teleport is.
 
-    seeds: teleport weights that sum to 1; all vertices alike without any. Edges are laid out by source once.
+    seeds: teleport weights that sum to 1; all vertices alike without any. The rounds are linear in the teleport vector
+    t: with y(i) = (damping A)**i t, ranks are sums of the y(i) whose factors follow from the mass that each y(i) has
+    on vertices without out-edges. So no round waits for a sum, a round is one shuffle (by target, which is also how
+    the vertices and shares lie), and STRETCH rounds make one job.
     """
     n = vertices.count()
     if not n:
@@ -86,23 +91,31 @@ def pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, damping
     weights = [F.when(F.col("id") == k, v) for k, v in (seeds or {}).items()]
     teleport = F.coalesce(*weights, F.lit(0.0)) if weights else F.lit(1.0 / n)
     known = edges.select("src", "dst").join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
-    ends = known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
+    ends = stored(spark, known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "ends")
     out = ends.groupBy("src").agg(F.sum("m").alias("total"))
-    shares = stored(spark, ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("total")).alias("share")), "shares").repartition("src").persist()
-    base = stored(spark, vertices.select("id", teleport.alias("t")).join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left"), "vertices").repartition("id").persist()
-    ranks = base.select("id", F.col("t").alias("rank") if seeds else F.lit(1.0 / n).alias("rank"))
-    held = []
-    for turn in range(rounds):
-        loose = base.where("leads IS NULL").join(ranks, "id").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        gained = ranks.join(shares, ranks["id"] == shares["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("g"))
-        ranks = base.join(gained, "id", "left").select("id", ((1 - damping + damping * loose) * F.col("t") + damping * F.coalesce("g", F.lit(0.0))).alias("rank"))
-        ranks = stored(spark, ranks, "ranks") if turn % 10 == 9 or turn == rounds - 1 else ranks.persist()
-        held.append(ranks)
-        if len(held) > 2:
-            held.pop(0).unpersist()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = stored(spark, ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("total")).alias("share")), "shares").repartition(parts, "src").persist()
+    base = vertices.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left")
+    state = stored(spark, base.select("id", "leads", F.array(teleport).alias("ys")), "ranks")
+    for start in range(0, rounds, STRETCH):
+        state = state.repartition(parts, "id").persist()
+        held = [state]
+        for _ in range(start, min(rounds, start + STRETCH)):
+            given = state.select("id", F.element_at("ys", -1).alias("y")).where("y > 0")
+            gained = given.join(shares, given["id"] == shares["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("y") * F.col("share")).alias("g"))
+            state = state.join(gained, "id", "left").select("id", "leads", F.concat("ys", F.array(damping * F.coalesce("g", F.lit(0.0)))).alias("ys")).persist()
+            held.append(state)
+        state = stored(spark, state, "ranks")
+        for frame in held:
+            frame.unpersist()
     shares.unpersist()
-    base.unpersist()
-    return ranks
+    loose = list(state.where("leads IS NULL").agg(*(F.coalesce(F.sum(F.col("ys")[i]), F.lit(0.0)) for i in range(rounds + 1))).first())
+    factors: list[float] = []
+    for turn in range(rounds):
+        mass = loose[turn] + sum(f * loose[turn - 1 - j] for j, f in enumerate(factors))
+        factors.append(1 - damping + damping * mass)
+    share = F.array(*(F.lit(float(x)) for x in [*reversed(factors), 1.0]))
+    return state.select("id", F.aggregate(F.zip_with("ys", share, lambda y, f: y * f), F.lit(0.0), lambda a, x: a + x).alias("rank"))
 
 
 def personalized_pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, seeds: list[str], damping: float = 0.6, rounds: int = 50) -> DataFrame:
