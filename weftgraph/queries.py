@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixtures_graph import Tables, oracle
 from .functions import scalars as S
-from .operators import coverage, graph, lookups, search, services, vectors
+from .operators import coverage, graph, lookups, resolution, search, services, vectors
 from .plans import cypher
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -369,6 +370,58 @@ def audit_tally(spark, sf):
     return coverage.audit(edges, even).select("justification", "verifiable", "confirmed")
 
 
+@query("SELECT page_id, CASE WHEN url = '' THEN 'empty' WHEN instr(url, chr(92)) > 0 THEN 'backslash' WHEN url[1] = '/' THEN 'absolute' WHEN regexp_matches(url, '^[A-Za-z]:') THEN 'drive prefix' WHEN list_contains(string_split(url, '/'), '.') OR list_contains(string_split(url, '/'), '..') THEN 'dot segment' WHEN list_contains(string_split(url, '/'), '') THEN 'empty segment' END AS reason FROM pages")
+def fn_unsafe_path(spark, sf):
+    return Tables(spark, sf).read("pages").select("page_id", S.unsafe_path_reason("url").alias("reason"))
+
+
+@query("SELECT doc_id, CAST(1 AS INTEGER) AS n FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text, ' ' || chr(10)) <> ''")
+def doc_chunks(spark, sf):
+    own = Tables(spark, sf).read("documents").where(~F.contains("text", F.lit("\n\n")) & (F.trim(F.col("text"), F.lit(" \n")) != ""))
+    return own.select("doc_id", F.size(files.chunks(F.col("text"))).alias("n"))
+
+
+@query("SELECT 'doc.src_' || doc_id || '.0' AS id, 'Document' AS label, CAST(length(trim(text, ' ' || chr(10))) AS INTEGER) AS size FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text, ' ' || chr(10)) <> ''")
+def document_nodes(spark, sf):
+    own = Tables(spark, sf).read("documents").where(~F.contains("text", F.lit("\n\n"))).select(F.concat(F.lit("src-"), "doc_id").alias("source"), "text")
+    return files.document_nodes(own).select("id", "label", F.length("text").alias("size"))
+
+
+def _evidence(t: Tables) -> dict[str, DataFrame]:
+    """Supplier methods and customer functions as definitions, one bare or member call for each order line."""
+    spark = t.spark
+    nodes = t.nodes().withColumns({"language": F.lit("python"), "file_path": F.concat("file_path", F.lit(".py"))})
+    home = t.read("nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit(".py")).alias("home"))
+    lines = t.read("lineitem").join(t.read("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t.read("customer"), F.col("c_custkey") == F.col("o_custkey")).join(F.broadcast(home), F.col("c_nationkey") == F.col("n_nationkey"))
+    calls = lines.select(F.concat(F.lit("customer."), "o_custkey").alias("caller_id"), F.concat(F.lit("supply_"), F.col("l_suppkey") % 60).alias("callee_name"), F.col("l_linenumber").alias("line"), F.col("home").alias("file_path"), F.struct(F.lit("Bare").alias("kind"), F.lit(None).cast("string").alias("name")).alias("receiver"), F.lit(None).cast("string").alias("enclosing_class"))
+    hidden = t.read("customer").where("c_custkey % 11 = 0").select(F.concat(F.lit("customer."), "c_custkey").alias("caller_id"), F.concat(F.lit("supply_"), F.col("c_custkey") % 60).alias("var_name"), F.lit("").alias("type_name"), F.lit("x").alias("file_path"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    return {
+        "nodes": nodes, "calls": calls, "variables": hidden, "inherits": empty("impl_name string, super_name string, kind string, file_path string"),
+        "fields": empty("class_id string, field_name string, type_name string, file_path string"), "imports": empty("file_path string, name string, module string"),
+    }
+
+
+@query("""WITH f AS (SELECT id, name, file_path FROM star_nodes WHERE label IN ('Function', 'Method')),
+c AS (SELECT DISTINCT 'customer.' || o_custkey AS src, 'supply_' || (l_suppkey % 60) AS name, 'r' || n_regionkey || '/n' || n_nationkey AS file_path FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE NOT (o_custkey % 11 = 0 AND l_suppkey % 60 = o_custkey % 60)),
+here AS (SELECT name, file_path, min(id) AS dst FROM f GROUP BY ALL HAVING count(DISTINCT id) = 1), alone AS (SELECT name, min(id) AS dst, min(file_path) AS target FROM f GROUP BY name HAVING count(DISTINCT id) = 1)
+SELECT c.src, coalesce(here.dst, alone.dst) AS dst, CASE WHEN here.dst IS NOT NULL THEN 'SameFileUnique' ELSE 'GlobalUnique' END AS justification FROM c LEFT JOIN here ON here.name = c.name AND here.file_path = c.file_path LEFT JOIN alone ON alone.name = c.name
+WHERE here.dst IS NOT NULL OR (alone.dst IS NOT NULL AND split_part(alone.target, '/', 1) = split_part(c.file_path, '/', 1))""")
+def resolve_calls(spark, sf):
+    own = _evidence(Tables(spark, sf))
+    return resolution.call_edges(spark, **own).where("relation = 'Calls'").select("src", "dst", "justification")
+
+
+@query("""SELECT kind, least(n, 20) AS n FROM (SELECT 'dangling' AS kind, count(*) AS n FROM star_edges WHERE dst IN (SELECT id FROM star_nodes WHERE label = 'Class' AND line_start % 3 = 0)
+UNION ALL SELECT 'justification', count(*) FROM star_edges WHERE relation = 'Calls') WHERE n > 0""")
+def validate_graph(spark, sf):
+    t = Tables(spark, sf)
+    edges = t.edges().withColumns({"tier": F.lit("TreeSitter"), "justification": F.lit(None).cast("string")})
+    found = lookups.violations(t.nodes().where("label <> 'Class' OR line_start % 3 <> 0"), edges)
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
