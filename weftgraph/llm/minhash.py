@@ -3,8 +3,8 @@
 1. Each text becomes the set of its distinct shingles. One hash of each shingle picks a bin (its top bits) and competes
    there by its value; empty bins borrow from a bin that a fixed random sequence leads to (optimal densification).
 2. Equal sets are grouped first; one representative of each group goes on.
-3. Bands of the signature are bucket keys. In every bucket the smallest member is the centre of a star: pairs are
-   bounded by the number of members. Pairs are confirmed on the full shingle sets.
+3. Bands of the signature are bucket keys. In every bucket one member, that which meets most others in its buckets, is
+   the centre of a star: pairs are bounded by the number of members. Pairs are confirmed on the full shingle sets.
 4. A link between two members that are not both linked to their centre c needs shared differences from c: with d
    shingles of c missing and a others added, W = 100 d + p a for a threshold of p percent, and s shared differences,
    x and y are linked exactly if (100 + p) s >= W(x) + W(y) - (100 - p) |c|, where W(x) > (100 - p) |c| for an x
@@ -174,25 +174,43 @@ def _confirmed(pairs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def _compared(stars: DataFrame, size: int, percent: int) -> DataFrame:
-    """Members (b) against their centre (a): linked, and the differences that another member has to share: probe of a
-    member that is not linked, index of any member. Added shingles come first, then missing ones, both by hash."""
+    """Members (b) against their centre (a): whether they are linked, the shingles that were added and those that are
+    missing (as complements, which keeps the two kinds apart), and how many of these differences, in any order that all
+    members share, another member has to be looked up by (index) or, for a member that is not linked, to look up (probe)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.blocks(batches, "text_b", common.BLOCK_BYTES // 2):
-            linked, probes, indexes = [], [], []
+            rows = []
             for c, x in zip(_sets_of(batch, "text_a", size), _sets_of(batch, "text_b", size)):
                 added, missing = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-                differences = np.concatenate([added, ~missing])  # a bijection keeps the two kinds apart
-                n, weight = len(differences), 100 * len(missing) + percent * len(added)
+                n, weight = len(added) + len(missing), 100 * len(missing) + percent * len(added)
                 excess = weight - (100 - percent) * len(c)
-                linked.append(excess <= 0)
-                first = n - -(-(weight + 1) // (100 + percent)) + 1
-                indexes.append(differences[: max(0, first)].view(np.int64))
-                probes.append(differences[: max(0, n - max(1, -(-excess // (100 + percent))) + 1)].view(np.int64) if excess > 0 else None)
+                index = max(0, n + (-(weight + 1) // (100 + percent)) + 1)
+                probe = max(0, n - max(1, -(-excess // (100 + percent))) + 1) if excess > 0 else 0
+                rows.append((excess <= 0, added.view(np.int64), (~missing).view(np.int64), index, probe))
+            kinds = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["a", "b", "linked", "added", "missing", "index", "probe"])
+
+    return stars.mapInArrow(run, "a long, b long, linked boolean, added array<long>, missing array<long>, index int, probe int")
+
+
+def _prefixes(compared: DataFrame) -> DataFrame:
+    """a, b, probe and index as arrays of differences: added ones first, then missing ones, and last those that many
+    members of the star share (`usual`, the rarer ones first), which tell little about two of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            probes, indexes = [], []
+            for added, missing, usual, index, probe in zip(*(batch.column(c).to_pylist() for c in ("added", "missing", "usual", "index", "probe"))):
+                common_ = set(usual or ())
+                own = {*added, *missing}
+                whole = [d for d in (*added, *missing) if d not in common_] + [d for d in usual or () if d in own]
+                probes.append(whole[:probe])
+                indexes.append(whole[:index])
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (probes, indexes)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), *lists], names=["a", "b", "linked", "probe", "index"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], names=["a", "b", "probe", "index"])
 
-    return stars.mapInArrow(run, "a long, b long, linked boolean, probe array<long>, index array<long>")
+    return compared.mapInArrow(run, "a long, b long, probe array<long>, index array<long>")
 
 
 def components(spark, edges: DataFrame) -> DataFrame:
@@ -230,27 +248,41 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_i
 
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        own = common.stored(spark, texts.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    def with_texts(pairs: DataFrame, own: DataFrame) -> DataFrame:
         a, b = (own.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
         return pairs.join(a, "a").join(b, "b")
 
     buckets = reps.select("rep", F.explode("bands").alias("bucket"))
-    centres = buckets.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centres = common.stored(spark, centres.select("bucket", "centre"), "centres")
-    stars = buckets.join(centres, "bucket").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    compared = common.stored(spark, _compared(with_texts(common.stored(spark, stars, "stars")), size, percent), "compared")
+    shared = common.stored(spark, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = common.stored(spark, buckets.join(shared, "bucket"), "members")
+    # The centre is the member that meets most others in all its buckets: copies with few changes of their own do.
+    weights = common.stored(spark, members.groupBy("rep").agg(F.sum("n").alias("met")), "weights")
+    weighed = members.join(weights, "rep")
+    best = weighed.groupBy("bucket").agg(F.max("met").alias("met"))
+    best = common.stored(spark, best, "best")
+    centres = common.stored(spark, weighed.join(best, ["bucket", "met"]).groupBy("bucket").agg(F.min("rep").alias("centre")), "centres")
+    stars = members.join(centres, "bucket").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = common.stored(spark, stars, "stars")
+    wanted = stars.select(F.col("a").alias("rep")).unionByName(stars.select(F.col("b").alias("rep"))).distinct()
+    # The texts move once, by a plan that does not turn with the number of keys.
+    own = common.stored(spark, texts.join(wanted.hint("merge"), "rep", "left_semi").dropDuplicates(["rep"]), "texts")
+    compared = common.stored(spark, _compared(with_texts(stars, own), size, percent), "compared")
     links = compared.where("linked").select("a", "b")
-    strays = compared.where("NOT linked").select("a", F.col("b").alias("x"), F.explode("probe").alias("difference"))
-    loose = compared.where("NOT linked").select("a").distinct()
-    others = compared.join(loose, "a", "left_semi").select("a", F.col("b").alias("y"), F.explode("index").alias("difference"))
+
+    loose = compared.groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(~F.col("linked"), 1)).alias("strays")).where("strays > 0")
+    loose = common.stored(spark, loose, "loose")
+    around = compared.join(loose, "a")
+    counted = around.select("a", "members", F.explode(F.concat("added", "missing")).alias("difference")).groupBy("a", "difference").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))
+    usual = counted.where("n > 8 AND n * 20 > members").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "difference"))), lambda u: u["difference"]).alias("usual"))
+    prefixes = common.stored(spark, _prefixes(around.join(common.stored(spark, usual, "usual"), "a", "left")), "prefixes")
+    strays = prefixes.select("a", F.col("b").alias("x"), F.explode("probe").alias("difference"))
+    others = prefixes.select("a", F.col("b").alias("y"), F.explode("index").alias("difference"))
     met = strays.join(others, ["a", "difference"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = reps.select("rep", "n", "bins")
     a, b = (side.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab")
     likely = common.stored(spark, _likely(common.stored(spark, met, "met").join(a, "a").join(b, "b"), percent), "likely")
     if not likely.isEmpty():
-        links = links.unionByName(common.stored(spark, _confirmed(with_texts(likely), size, percent), "links"))
+        links = links.unionByName(common.stored(spark, _confirmed(with_texts(likely, own), size, percent), "links"))
     labels = common.stored(spark, components(spark, links), "components")
     label = F.coalesce("component", "rep")
 
