@@ -81,3 +81,35 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     got = {r.node: r.component for r in minhash.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+
+
+def test_links_between_members_of_a_star(spark):
+    """Copies of copies around the threshold: many are linked with each other, but not with their centre."""
+    import random
+
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base = rnd.choices(vocabulary, k=90)
+    texts = [base]
+    for _ in range(90):
+        own = list(rnd.choice(texts))
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.randrange(len(own))
+            own[at : at + rnd.randint(0, 1)] = rnd.choices(vocabulary, k=rnd.randint(0, 2))
+        texts.append(own)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    home = list(range(len(texts)))
+
+    def find(a):
+        while home[a] != a:
+            a = home[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                home[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.grouped(docs, 85).collect()}
+    assert got == {i: find(i) for i in range(len(texts))} and len(set(got.values())) > 1

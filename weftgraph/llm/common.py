@@ -9,8 +9,6 @@ Conventions used by every operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..work import shared_dir, stored  # noqa: F401  (used through this module)
+
 #: Text bytes that one numpy pass holds at a time; one longer text makes a block of its own.
 BLOCK_BYTES = 1 << 21
 
@@ -32,24 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="weftgraph-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Keep the Arrow batches that reach Python small, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
