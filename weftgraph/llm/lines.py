@@ -116,7 +116,8 @@ def repeated(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, key: s
     start = common.stored(spark, several.join(start, keys), "first")
     marked = listed.join(start, keys).select("doc_id", "place", "h1", ((F.col("doc_id") == F.col("owner")) & (F.col("place") == F.col("at"))).alias("first"))
     places = marked.groupBy("doc_id").agg(F.collect_set(F.struct("place", "first", "h1")).alias("places"))
-    taken = common.stored(spark, _taken(texts.join(places, "doc_id"), width, divisor), "taken")
+    # Repeated chunks grow with the corpus: their places are never broadcast.
+    taken = common.stored(spark, _taken(texts.join(places.hint("merge"), "doc_id"), width, divisor), "taken")
     originals = taken.where("first").dropDuplicates(["h1", "h2", "doc_id", "place"]).select("h1", "h2", F.col("chunk").alias("original"))
     same = taken.where("not first").join(common.stored(spark, originals, "originals"), ["h1", "h2"]).where("chunk = original")
     return same.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
@@ -159,7 +160,7 @@ def digests(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, key: st
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(total.astype(np.int64)), pa.array(gone.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     places = repeated(docs, width, divisor, key, text)
-    return _texts(docs, key, text).join(places, "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _texts(docs, key, text).join(places.hint("merge"), "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR) -> DataFrame:
@@ -169,7 +170,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR) ->
     # The extra column may not clash with one of the table's own.
     own = "places"
     kept = docs.withColumnRenamed(own, "own_places") if own in docs.columns else docs
-    joined = kept.join(repeated(docs, width, divisor), "doc_id", "left").select(*kept.columns, own)
+    joined = kept.join(repeated(docs, width, divisor).hint("merge"), "doc_id", "left").select(*kept.columns, own)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

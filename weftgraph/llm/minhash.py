@@ -296,4 +296,4 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_i
 def deduplicated(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """docs with one document of each component (the smallest doc_id); all columns stay. Rows that share a key stay or go together."""
     drop = grouped(docs, percent, size).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    return docs.join(drop.hint("merge"), "doc_id", "left_anti")
