@@ -9,7 +9,8 @@
    shingles of c missing and a others added, W = 100 d + p a for a threshold of p percent, and s shared differences,
    x and y are linked exactly if (100 + p) s >= W(x) + W(y) - (100 - p) |c|, where W(x) > (100 - p) |c| for an x
    that is not linked to c. So y shares (W(y) + 1) / (100 + p) of its differences at least, and one of its first ones
-   (prefix filter) is among those of x. Pairs that meet there are confirmed on the full sets: no link inside a bucket
+   (prefix filter) is among those of x, with enough of both lists behind it (position filter). Pairs that meet there are
+   confirmed on the full sets: no link inside a bucket
    is lost, and copies that differ in places of their own make no pairs.
 5. Confirmed links make components (large-star, small-star).
 
@@ -187,11 +188,11 @@ def _compared(stars: DataFrame, size: int, percent: int) -> DataFrame:
                 excess = weight - (100 - percent) * len(c)
                 index = max(0, n + (-(weight + 1) // (100 + percent)) + 1)
                 probe = max(0, n - max(1, -(-excess // (100 + percent))) + 1) if excess > 0 else 0
-                rows.append((excess <= 0, added.view(np.int64), (~missing).view(np.int64), index, probe))
-            kinds = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["a", "b", "linked", "added", "missing", "index", "probe"])
+                rows.append((excess <= 0, added.view(np.int64), (~missing).view(np.int64), index, probe, weight, excess))
+            kinds = [pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=["a", "b", "linked", "added", "missing", "index", "probe", "weight", "excess"])
 
-    return stars.mapInArrow(run, "a long, b long, linked boolean, added array<long>, missing array<long>, index int, probe int")
+    return stars.mapInArrow(run, "a long, b long, linked boolean, added array<long>, missing array<long>, index int, probe int, weight long, excess long")
 
 
 def _prefixes(compared: DataFrame) -> DataFrame:
@@ -200,17 +201,19 @@ def _prefixes(compared: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            probes, indexes = [], []
+            probes, indexes, sizes = [], [], []
             for added, missing, usual, index, probe in zip(*(batch.column(c).to_pylist() for c in ("added", "missing", "usual", "index", "probe"))):
                 common_ = set(usual or ())
                 own = {*added, *missing}
                 whole = [d for d in (*added, *missing) if d not in common_] + [d for d in usual or () if d in own]
                 probes.append(whole[:probe])
                 indexes.append(whole[:index])
+                sizes.append(len(whole))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (probes, indexes)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *lists], names=["a", "b", "probe", "index"])
+            own = [batch.column(c) for c in ("a", "b", "weight", "excess")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *lists], names=["a", "b", "weight", "excess", "size", "probe", "index"])
 
-    return compared.mapInArrow(run, "a long, b long, probe array<long>, index array<long>")
+    return compared.mapInArrow(run, "a long, b long, weight long, excess long, size long, probe array<long>, index array<long>")
 
 
 def components(spark, edges: DataFrame) -> DataFrame:
@@ -275,9 +278,12 @@ def grouped(docs: DataFrame, percent: int = 80, size: int = 5, key: str = "doc_i
     counted = around.select("a", "members", F.explode(F.concat("added", "missing")).alias("difference")).groupBy("a", "difference").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))
     usual = counted.where("n > 8 AND n * 20 > members").groupBy("a").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "difference"))), lambda u: u["difference"]).alias("usual"))
     prefixes = common.stored(spark, _prefixes(around.join(common.stored(spark, usual, "usual"), "a", "left")), "prefixes")
-    strays = prefixes.select("a", F.col("b").alias("x"), F.explode("probe").alias("difference"))
-    others = prefixes.select("a", F.col("b").alias("y"), F.explode("index").alias("difference"))
-    met = strays.join(others, ["a", "difference"]).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    strays = prefixes.select("a", F.col("b").alias("x"), "excess", F.col("size").alias("size_x"), F.posexplode("probe").alias("i", "difference"))
+    others = prefixes.select("a", F.col("b").alias("y"), "weight", F.col("size").alias("size_y"), F.posexplode("index").alias("j", "difference"))
+    # From the first shared difference on, the rest of both lists has to reach the number that must be shared.
+    needed = F.ceil((F.col("excess") + F.col("weight")) / (100 + percent))
+    enough = needed <= F.least(F.col("size_x") - F.col("i"), F.col("size_y") - F.col("j"))
+    met = strays.join(others, ["a", "difference"]).where((F.col("x") != F.col("y")) & enough).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     side = reps.select("rep", "n", "bins")
     a, b = (side.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab")
     likely = common.stored(spark, _likely(common.stored(spark, met, "met").join(a, "a").join(b, "b"), percent), "likely")
