@@ -19,8 +19,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; chunks of lines that occurred earlier are cut from their texts, and n_chars follows."""
-    cut = lines.deduplicated(docs)
+    """All documents; lines and runs of lines that occurred earlier are cut from their texts, and n_chars follows."""
+    cut = lines.deduplicated(docs, runs=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

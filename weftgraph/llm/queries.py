@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digests(common.table(spark, sf_dir, "documents"))
+    return lines.digests(common.table(spark, sf_dir, "documents"), runs=True)
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
