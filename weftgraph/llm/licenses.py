@@ -1,9 +1,11 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
-A block is a line of a text. A block belongs to a template when it holds THRESHOLD of the template's distinct words or
+A block is a line of a text, or for each template a window of successive words that runs over line ends, as notices are
+wrapped; its length is that of the template over THRESHOLD, so that as many words may be put in. A block belongs to a template when it holds THRESHOLD of the template's distinct words or
 more. Template words are ordered by how many documents hold them, the rarest first; a qualifying block holds one of the
 template's first `size - needed + 1` words (prefix), has `needed` distinct words (length), and its first shared word
-leaves enough words behind it (position). Blocks that pass all three are counted in full, so none is missed.
+leaves enough words behind it (position). Blocks that pass all three are counted in full, so none is missed. Of the
+windows those around each prefix word are counted, one for each first word that the template holds.
 
 Templates are a parameter of bounded size; documents are scanned twice and never shuffled. Nulls count as empty texts,
 which have no words. Repeated rows get equal results.
@@ -50,17 +52,17 @@ def _strings(values) -> Column:
 
 
 def ordered_templates(docs: DataFrame, templates: dict[str, list[str]], text: str, threshold: float) -> list[dict]:
-    """label, words (the rarest first by the number of documents that hold them, ties by word) and words needed of each template."""
-    sets = [(label, set(t.split())) for label, texts in templates.items() for t in texts if t.split()]
-    vocabulary = sorted({w for _, s in sets for w in s})
+    """label, words (the rarest first by the number of documents that hold them, ties by word), words needed and window of each template."""
+    sets = [(label, set(t.split()), len(t.split())) for label, texts in templates.items() for t in texts if t.split()]
+    vocabulary = sorted({w for _, s, _ in sets for w in s})
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"templates of over {MAX_VOCABULARY} distinct words")
     held = F.array_intersect(F.split(F.lower(_words(F.coalesce(F.col(text).cast("string"), F.lit("")))), " "), _strings(vocabulary))
     counts = dict(docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()) if vocabulary else {}
     out = []
-    for label, own in sets:
+    for label, own, length in sets:
         ranked = sorted(own, key=lambda w: (counts.get(w, 0), w))
-        out.append({"label": label, "words": ranked, "needed": max(1, math.ceil(threshold * len(ranked) - 1e-9))})
+        out.append({"label": label, "words": ranked, "needed": max(1, math.ceil(threshold * len(ranked) - 1e-9)), "window": math.ceil(length / threshold - 1e-9)})
     return out
 
 
@@ -106,9 +108,39 @@ def scanned(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thresh
         rows = [hit(t, block) for t in known]
         return F.filter(F.array(*rows), lambda r: r.isNotNull())
 
+    def window_hit(t: dict, words: Column, places: Column) -> Column:
+        """The best share of a window of the words; places are those of words that are a prefix word of some template."""
+        size, needed, window = len(t["words"]), t["needed"], t["window"]
+        own, prefix = _strings(t["words"]), _strings(t["words"][: size - needed + 1])
+
+        def around(place: Column) -> Column:
+            """Most distinct template words of a window that holds this place, or 0 where even all of them together have too few."""
+            first = F.greatest(place - window + 1, F.lit(0))
+
+            def counted(near: Column) -> Column:
+                starts = F.filter(F.sequence(F.lit(1), place - first + 1), lambda i: F.array_contains(own, F.element_at(near, i)))
+                held = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(near, i, F.lit(window)), own)))
+                return F.when(F.size(F.array_intersect(near, own)) >= needed, F.array_max(held)).otherwise(F.lit(0))
+
+            return let(F.slice(words, first + 1, place - first + window), counted)
+
+        def best(n: Column) -> Column:
+            return F.when(n >= needed, F.struct(F.lit(t["label"]).alias("label"), (n / size).alias("share")))
+
+        at = F.filter(places, lambda i: F.array_contains(prefix, words[i]))
+        return let(F.array_max(F.transform(at, around)), best)
+
+    def window_hits(words: Column) -> Column:
+        def found(places: Column) -> Column:
+            return F.filter(F.array(*(window_hit(t, words, places) for t in known)), lambda r: r.isNotNull())
+
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(_strings(prefixes), words[i]))
+        return let(places, found)
+
     def joined(text: Column) -> Column:
         blocks = F.transform(F.split(text, "\n"), lambda line: F.array_distinct(F.split(F.lower(_words(line)), " ")))
-        return F.flatten(F.transform(F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(prefixes))), block_hits))
+        lines = F.flatten(F.transform(F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(prefixes))), block_hits))
+        return F.concat(lines, let(F.split(F.lower(_words(text)), " "), window_hits))
 
     nothing = F.array().cast("array<struct<label:string,share:double>>")
     hits = F.when(F.col("words").rlike(some), joined(F.col("text"))).otherwise(nothing) if known else nothing
