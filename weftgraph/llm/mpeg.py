@@ -117,6 +117,7 @@ def header_at(data: bytes, at: int) -> tuple[int, int, int, int, int, bool] | No
 def read(data: bytes) -> dict:
     """Frames, tags and table of a stream; bytes that belong to no frame are skipped until two headers follow each other.
 
+    128 bytes at the end that begin with TAG are an ID3v1 tag, unless they lie in the audio that the table's byte count gives.
     Gives n_bytes (from the tag, or None), offsets and sizes of the audio frames, their payload units, sample count,
     Hz, xing (frames, bytes, table) or None, junk bytes skipped, and the number of frames with a wrong checksum.
     """
@@ -143,6 +144,8 @@ def read(data: bytes) -> dict:
                 flags = struct.unpack_from(">I", data, info + 4)[0]
                 numbers = struct.unpack_from(f">{(flags & 1) + (flags >> 1 & 1)}I", data, info + 8)
                 table = info + 8 + 4 * len(numbers)
+                if flags & 2 and end < at + numbers[-1] <= len(data):
+                    end = len(data)
                 xing = (*numbers, data[table : table + 100] if flags & 4 else b"")
             else:
                 offsets.append(at)
@@ -199,7 +202,7 @@ def media(docs: DataFrame, key: str = "doc_id", text: str = "text", with_stream:
                 got = read(data)
                 back = got["payload"]
                 row = [doc, got["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(got)]
-                rows.append(row + [data, got["offsets"].tolist(), got["samples"] / got["hz"]] * with_stream)
+                rows.append(row + ([data, got["offsets"].tolist(), got["samples"] / got["hz"] if got["hz"] else 0.0] if with_stream else []))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.float64()][: 11 if with_stream else 8]
