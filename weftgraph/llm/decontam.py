@@ -245,47 +245,45 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "do
 
 
 def _several(chosen: DataFrame, blocks: list[list[tuple]], window: int) -> DataFrame:
-    """A benchmark of more than one block: one pass each, whose hit words (as spans) and items are then put together."""
+    """A benchmark of more than one block: one pass each over all rows, every row with what the passes before it found.
+
+    Rows are never put together by key, so repeated and null keys get results of their own. State of a row: spans (flat
+    starts and stops of its hit words), names and nulls of its items, and the longest match.
+    """
     spark = chosen.sparkSession
-    parts = []
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()]
+    schema = "doc_id long, text string, n long, spans array<long>, names array<string>, nulls long, most long"
+    columns = [x.split()[0] for x in schema.split(", ")]
+    found = chosen.select(
+        "doc_id", "text", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("names"),
+        F.lit(0).cast("long").alias("nulls"), F.lit(0).cast("long").alias("most"),
+    )
     for items in blocks:
         shared = spark.sparkContext.broadcast(prepare(items, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q = shared.value
             for block in common.blocks(batches, "text"):
-                docs, sizes, spans, names, nulls, most = [], [], [], [], [], []
-                for doc, (n, flags, found, best, _) in zip(block.column("doc_id").to_pylist(), scan(block, q)):
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                    docs.append(doc)
+                sizes, spans, names, nulls, most = [], [], [], [], []
+                known = (block.column(c).to_pylist() for c in ("spans", "names", "nulls", "most"))
+                for old_spans, old_names, old_nulls, old_most, (n, flags, own, best, _) in zip(*known, scan(block, q)):
+                    for a, b in zip(old_spans[::2], old_spans[1::2]):
+                        flags[a:b] = True
                     sizes.append(n)
-                    spans.append(edges.tolist())
-                    names.append([q.ids[i] for i in found if q.ids[i] is not None])
-                    nulls.append(sum(q.ids[i] is None for i in found))
-                    most.append(best)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(nulls, pa.int64()), pa.array(most, pa.int64())],
-                    names=["doc_id", "n", "spans", "names", "nulls", "most"],
-                )
-
-        parts.append(chosen.mapInArrow(run, "doc_id long, n long, spans array<long>, names array<string>, nulls long, most long"))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    gathered = whole.groupBy("doc_id").agg(F.max("n").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("names")).alias("names"), F.sum("nulls").alias("nulls"), F.max("most").alias("longest_match"))
-
-    @F.udf("long")
-    def covered(edges):
-        total = end = 0
-        for a, b in sorted(zip(edges[::2], edges[1::2])):
-            total += max(0, b - max(a, end))
-            end = max(end, b)
-        return total
-
-    names = F.array_sort("names")
-    return gathered.select(
-        "doc_id", "n_words", covered("spans").alias("n_hit"), (F.size("names") + F.col("nulls")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), (covered("spans") > 0).alias("contaminated"), "longest_match",
+                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist())
+                    names.append(old_names + [q.ids[i] for i in own if q.ids[i] is not None])
+                    nulls.append(old_nulls + sum(q.ids[i] is None for i in own))
+                    most.append(max(old_most, best))
+                rest = [pa.array(c, t) for c, t in zip((sizes, spans, names, nulls, most), kinds[2:])]
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), *rest], names=columns)
+
+        found = found.mapInArrow(run, schema)
+    places = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
+    covered = F.when(F.size("spans") == 0, F.lit(0)).otherwise(F.aggregate(places, F.lit(0).cast("long"), lambda n, i: n + F.col("spans")[2 * i + 1] - F.col("spans")[2 * i]))
+    # The names are sorted as in one pass, by code points.
+    return found.select("doc_id", F.col("n").alias("n_words"), covered.cast("long").alias("n_hit"), "names", "nulls", F.col("most").alias("longest_match")).select(
+        "doc_id", "n_words", "n_hit", (F.size("names") + F.col("nulls")).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("names"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match",
     )
 
 
