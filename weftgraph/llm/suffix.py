@@ -1,35 +1,40 @@
 """Suffix-array dedup: every byte inside a 200-byte string that starts somewhere else as well is removed.
 
-1. Equal whole texts are grouped first; one representative of each goes on.
+1. Equal whole texts are grouped by their SHA-256, which names a text from here on; one row of each goes on.
 2. Anchors: of every 200-byte window the 64-byte string with the least hash is its anchor, so equal windows have equal
    anchors at the same offset. Counting anchor hashes over the corpus leaves those that occur in two places.
-3. Around each of these an anchored piece is cut: the bytes of all windows of that anchor. Pieces of one anchor meet in
-   one task, where their window suffixes are sorted by mergesort: two suffixes are compared by their longest common
-   extension, found by binary search over prefix polynomial hashes, and the byte behind it. Neighbours that share 200
-   bytes are confirmed byte by byte.
-4. Anchors with more than GROUP occurrences do not gather in one task: their windows are counted by two independent
-   64-bit hashes, partly before the shuffle, and joined back.
-
-Windows are judged on the input. Nulls count as empty texts. A row with a null key is in the result; its text takes part
-only as a copy of another one. A repeated row is a copy of itself. Where rows share a key but not the text, each loses
-what is covered in any of them. Texts under 200 bytes lose nothing. Very long texts are cut into blocks that overlap by a window. An empty table gives an empty result.
+3. Around each of these an anchored piece is cut: the bytes of all windows of that anchor. Equal pieces are counted
+   first, with partial counts before the shuffle, so a passage that a third of all rows share is one row. All windows
+   of a piece that occurs twice are covered.
+4. The distinct pieces of one anchor meet in one task, where their window suffixes are sorted by mergesort: two suffixes
+   are compared by their longest common extension, found by binary search over prefix polynomial hashes, and the byte
+   behind it. Neighbours that share 200 bytes are confirmed byte by byte; where the bytes contradict the hashes, the
+   class is put together again by its bytes.
+5. An anchor with more than GROUP distinct pieces (a short phrase in ever new surroundings) would not fit a task: its
+   windows are counted by their bytes in the same way as whole pieces, which gives the same result.
+
+Windows are judged on the input. Nulls count as empty texts. Every row is judged by its own text: a row with a null key
+takes part like any other, a repeated row is a copy of itself, rows that share a key but not the text do not touch each
+other. Texts under 200 bytes lose nothing. Very long texts are cut into blocks that overlap by a window. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
 WINDOW, ANCHOR = 200, 64
-#: Occurrences of an anchor up to which its pieces are sorted in one task.
-GROUP = 128
-BASE_2 = 0xC2B2AE3D27D4EB4F
+#: Distinct pieces of an anchor up to which they are sorted in one task.
+GROUP = 4096
 #: Bytes of one numpy pass; places within it fit into PLACE_BITS.
 STRETCH, PLACE_BITS = 1 << 20, 26
 
@@ -174,13 +179,14 @@ def sorted_classes(suffixes: Suffixes, start: np.ndarray, bounds: np.ndarray) ->
     return start
 
 
-def repeated_windows(pieces: list[bytes], anchors: np.ndarray, anchor_hash: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+def repeated_windows(pieces: list[bytes], anchors: np.ndarray, anchor_hash: np.ndarray, window: int) -> np.ndarray:
     """Start (in the concatenated pieces) of each window that occurs twice among the windows of the pieces with its anchor hash.
 
-    anchors: place of the anchor in its piece; counts: windows of each piece, which start at its first bytes.
+    anchors: place of the anchor in its piece.
     """
     data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces])
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    counts = sizes - window + 1
     origin = np.cumsum(sizes) - sizes
     piece = np.repeat(np.arange(len(pieces)), counts)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -201,9 +207,14 @@ def repeated_windows(pieces: list[bytes], anchors: np.ndarray, anchor_hash: np.n
     a, b = starts[:-1], starts[1:]
     near = np.flatnonzero(classes[:-1] == classes[1:])
     near = near[suffixes.equal(a[near], b[near], np.full(len(near), window))]
-    near = near[suffixes.same_bytes(a[near], b[near])]
+    same = suffixes.same_bytes(a[near], b[near])
     found = np.zeros(len(starts), bool)
-    found[near] = found[near + 1] = True
+    found[near[same]] = found[near[same] + 1] = True
+    for wrong in np.unique(classes[near[~same]]).tolist():  # equal hashes of different bytes
+        own = np.flatnonzero(classes == wrong)
+        spelled = [data[x : x + window].tobytes() for x in starts[own].tolist()]
+        seen = Counter(spelled)
+        found[own] = [seen[x] > 1 for x in spelled]
     return np.sort(starts[found])
 
 
@@ -233,130 +244,162 @@ def _sets(texts: DataFrame, window: int, anchor: int) -> DataFrame:
             data, offsets = common.utf8(block.column("text"))
             text, _, hashes, _, _ = text_anchors(data, offsets, window, anchor)
             raw = data.tobytes()
-            digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
+            digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets[:-1], offsets[1:])]
             ends = np.searchsorted(text, np.arange(len(digests) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(digests), pa.array(np.diff(offsets)), lists], names=["doc_id", "digest", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(digests, pa.binary()), pa.array(np.diff(offsets)), lists], names=["doc_id", "digest", "n_bytes", "anchors"])
 
-    return texts.mapInArrow(run, "doc_id long, digest string, n_bytes long, anchors array<long>")
+    return texts.mapInArrow(run, "doc_id long, digest binary, n_bytes long, anchors array<long>")
 
 
 def _pieces(hit: DataFrame, window: int, anchor: int) -> DataFrame:
-    """The pieces of the repeated anchors (hashes with their counts in `repeated`) of each text."""
+    """The pieces of the repeated anchors (hashes in `repeated`) of each text; `name` stands for the piece and its anchor's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             data, offsets = common.utf8(block.column("text"))
             text, place, hashes, low, high = text_anchors(data, offsets, window, anchor)
-            rows = []
-            wanted = [{r["hash"]: r["n"] for r in own} for own in block.column("repeated").to_pylist()]
-            docs = block.column("rep").to_pylist()
-            for t, p, h, a, b in zip(text.tolist(), place.tolist(), hashes.view(np.int64).tolist(), low.tolist(), high.tolist()):
-                if (n := wanted[t].get(h)) is not None:
-                    rows.append((docs[t], h, n, a, p - a, b - a + 1, data[offsets[t] + a : offsets[t] + b + window].tobytes()))
-            for i in range(0, len(rows), 2000):
-                kinds = [pa.int64()] * 6 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 2000]), kinds)], names=["rep", "hash", "n", "first", "anchor", "windows", "piece"])
+            wanted = block.column("repeated")
+            owner = np.repeat(np.arange(len(wanted), dtype=np.uint64), np.diff(wanted.offsets.to_numpy()))
+            # A text and a hash as one number: an equal number of another pair only brings a piece that nothing equals.
+            held = np.isin(hashes ^ common.mix(text.astype(np.uint64)), wanted.flatten().to_numpy().view(np.uint64) ^ common.mix(owner))
+            text, place, hashes, low, high = (x[held] for x in (text, place, hashes, low, high))
+            start, size = offsets[text] + low, high - low + window
+            raw = data.tobytes()
+            for i in range(0, len(text), 4000):
+                j = slice(i, i + 4000)
+                own = [raw[a : a + n] for a, n in zip(start[j].tolist(), size[j].tolist())]
+                at = (place - low)[j]
+                names = [hashlib.blake2b(p, digest_size=16, salt=k.to_bytes(8, "little")).digest() for p, k in zip(own, at.tolist())]
+                columns = [block.column("digest").take(pa.array(text[j])), block.column("alone").take(pa.array(text[j])), pa.array(hashes[j].view(np.int64)), pa.array(low[j]), pa.array(at), pa.array(names, pa.binary()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["digest", "alone", "hash", "first", "anchor", "name", "piece"])
 
-    return hit.mapInArrow(run, "rep long, hash long, n long, first long, anchor long, windows long, piece binary")
+    return hit.mapInArrow(run, "digest binary, alone boolean, hash long, first long, anchor long, name binary, piece binary")
 
 
 def _sorted_pieces(pieces: DataFrame, window: int) -> DataFrame:
-    """Covered runs (rep, edges) from pieces whose groups lie together in a task."""
-
-    def solve(rows: list[dict]) -> pa.RecordBatch:
-        own = [r["piece"] for r in rows]
-        starts = repeated_windows(own, np.array([r["anchor"] for r in rows]), np.array([r["hash"] for r in rows]), np.array([r["windows"] for r in rows]), window)
-        origin = np.cumsum([0, *(len(p) for p in own)])
-        ends = np.searchsorted(starts, origin)
-        out = [(r["rep"], runs(starts[a:b] - o + r["first"], window)) for r, o, a, b in zip(rows, origin.tolist(), ends[:-1].tolist(), ends[1:].tolist()) if b > a]
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["rep", "edges"])
+    """Covered runs (name, edges within the piece) of distinct pieces; those of one anchor lie together in a task."""
+
+    def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block = pa.Table.from_batches(rows).combine_chunks()
+        own, n, hashes = block.column("piece").to_pylist(), block.column("n").to_numpy(), block.column("hash").to_numpy()
+        sizes = np.array([len(p) for p in own], np.int64)
+        some = np.flatnonzero(np.isin(hashes, hashes[1:][hashes[1:] == hashes[:-1]]))  # rows are in the order of hashes
+        starts = repeated_windows([own[i] for i in some.tolist()], block.column("anchor").to_numpy()[some], hashes[some], window)
+        origin = np.cumsum(sizes[some]) - sizes[some]
+        ends = np.searchsorted(starts, np.append(origin, sizes[some].sum()))
+        edges: list[list[int]] = [[] for _ in own]
+        for i, o, a, b in zip(some.tolist(), origin.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            if b > a:
+                edges[i] = runs(starts[a:b] - o, window)
+        for i in np.flatnonzero(n > 1).tolist():
+            edges[i] = [0, int(sizes[i])]
+        good = [i for i, e in enumerate(edges) if e]
+        return pa.RecordBatch.from_arrays([block.column("name").combine_chunks().take(pa.array(good, pa.int64())), pa.array([edges[i] for i in good], pa.list_(pa.int64()))], names=["name", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if size >= STRETCH // 2 and row["hash"] != held[-1]["hash"]:
+            if not batch.num_rows:
+                continue
+            hashes = batch.column("hash").to_numpy()
+            changes = (np.flatnonzero(hashes[1:] != hashes[:-1]) + 1).tolist()
+            if held and held[-1].column("hash")[-1].as_py() != hashes[0]:
+                changes.insert(0, 0)
+            done = 0
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("piece")).to_numpy())])
+            for cut in changes:  # where a new anchor begins
+                if size + sizes[cut] - sizes[done] >= STRETCH // 2:
+                    if cut > done:
+                        held.append(batch.slice(done, cut - done))
                     yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["piece"])
+                    held, size, done = [], 0, cut
+            held.append(batch.slice(done))
+            size += int(sizes[-1] - sizes[done])
         if held:
             yield solve(held)
 
-    return pieces.mapInArrow(run, "rep long, edges array<long>")
+    return pieces.mapInArrow(run, "name binary, edges array<long>")
 
 
 def _windows(pieces: DataFrame, window: int) -> DataFrame:
-    """Each window of the pieces: rep, start and two independent hashes."""
+    """Each window of the distinct pieces: name, start, n, its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "piece", STRETCH // 4):
-            data, offsets = common.utf8(block.column("piece"))
-            counts = block.column("windows").to_numpy()
-            piece = np.repeat(np.arange(len(counts)), counts)
-            offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = offsets[piece] + offset
-            columns = [block.column("rep").to_numpy(zero_copy_only=False)[piece], block.column("first").to_numpy()[piece] + offset]
-            for base in (common.BASE, BASE_2):
-                columns.append(common.span_hash(common.prefix_hash(data, base), at, at + window, base).view(np.int64))
-            for i in range(0, len(piece), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 20_000], pa.int64()) for c in columns], names=["rep", "start", "h1", "h2"])
+        for batch in batches:
+            for name, n, piece in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "piece"))):
+                count = len(piece) - window + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * count, pa.binary()), pa.array(range(count), pa.int64()), pa.array([n] * count, pa.int64()), pa.array([piece[i : i + window] for i in range(count)], pa.binary())], names=["name", "start", "n", "bytes"]
+                )
 
-    return pieces.mapInArrow(run, "rep long, start long, h1 long, h2 long")
+    return pieces.mapInArrow(run, "name binary, start long, n long, bytes binary")
 
 
 def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row per document: doc_id, digest, n_bytes, copies of its text; per representative with repeats: rep, text, edges of what is covered)."""
+    """(one row per row of docs: doc_id, digest, n_bytes, copies of its text; per text that occurs once and has repeats:
+    digest, text, edges of what is covered)."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sets = common.stored(spark, _sets(texts, window, anchor), "anchors")
-    # One representative of each text: its smallest key. Its anchors are found again by the key.
     groups = common.stored(spark, sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "texts")
-    chosen = groups.where("rep is not null").select(F.col("rep").alias("doc_id"))
-    distinct = sets.select("doc_id", "anchors").join(chosen, "doc_id", "left_semi")
-    places = distinct.select(F.col("doc_id").alias("rep"), F.explode("anchors").alias("hash"))
-    repeated = common.stored(spark, places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
-    per_text = places.join(repeated, "hash").groupBy("rep").agg(F.collect_set(F.struct("hash", "n")).alias("repeated"))
-    hit = common.stored(spark, texts.withColumnRenamed("doc_id", "rep").join(per_text, "rep"), "hit")
+    # One row of each text stands for it; rows that are repeated whole come more than once, which changes no result, as
+    # all that they hold occurs twice.
+    chosen = groups.select(F.col("digest").alias("d"), "rep", "copies")
+    own = sets.join(chosen, F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "rep", "copies", "anchors")
+    places = own.select("digest", "rep", "copies", F.explode("anchors").alias("hash"))
+    repeated = common.stored(spark, places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    per_text = places.join(repeated, "hash").groupBy("digest", "rep").agg(F.collect_set("hash").alias("repeated"), (F.max("copies") == 1).alias("alone"))
+    per_text = per_text.withColumnRenamed("digest", "d")
+    named = texts.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    hit = named.join(per_text.hint("merge"), F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    hit = common.stored(spark, hit.select("digest", "text", "alone", "repeated"), "hit")
     pieces = common.stored(spark, _pieces(hit, window, anchor), "pieces")
-    few = pieces.where(F.col("n") <= GROUP).repartition("hash").sortWithinPartitions("hash")
-    windows = _windows(pieces.where(F.col("n") > GROUP), window)
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    twice = common.stored(spark, twice, "windows")
-    many = windows.join(twice, ["h1", "h2"]).select("rep", F.array("start", F.col("start") + window).alias("edges"))
-    edges = _sorted_pieces(few, window).unionByName(many).groupBy("rep").agg(F.flatten(F.collect_list("edges")).alias("edges"))
-    return sets.drop("anchors").join(groups.drop("rep"), "digest"), hit.select("rep", "text").join(edges, "rep")
+    distinct = common.stored(spark, pieces.groupBy("hash", "anchor", "name", "piece").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    many = common.stored(spark, distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("hash"), "many")
+    few = distinct.join(many, "hash", "left_anti").repartition("hash").sortWithinPartitions("hash")
+    windows = _windows(distinct.join(many, "hash", "left_semi").where("n = 1"), window)
+    # Windows of pieces that occur twice are covered as they are, but count for the others.
+    twice = _windows(distinct.join(many, "hash", "left_semi"), window).groupBy("bytes").agg(F.sum("n").alias("n")).where("n > 1").select("bytes")
+    wide = windows.join(twice, "bytes").select("name", F.array("start", F.col("start") + window).alias("edges"))
+    whole = distinct.join(many, "hash", "left_semi").where("n > 1").select("name", F.array(F.lit(0).cast("long"), F.length("piece").cast("long")).alias("edges"))
+    solved = common.stored(spark, _sorted_pieces(few, window), "solved").unionByName(wide).unionByName(whole)
+    placed = pieces.where("alone").select("digest", "first", "name").join(solved.hint("merge"), "name")
+    edges = placed.select("digest", F.transform("edges", lambda e: e + F.col("first")).alias("edges")).groupBy("digest").agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    return sets.drop("anchors").join(groups.drop("rep"), "digest"), hit.where("alone").select("digest", "text").join(edges.hint("merge"), "digest")
 
 
 def _cut(found: DataFrame) -> DataFrame:
-    """rep, the bytes kept, removed bytes and removed runs."""
+    """digest, the bytes kept, their digest, removed bytes and removed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             rows = []
-            for rep, text, edges in zip(*(block.column(c).to_pylist() for c in ("rep", "text", "edges"))):
+            for digest, text, edges in zip(*(block.column(c).to_pylist() for c in ("digest", "text", "edges"))):
                 raw, spans = text.encode(), _merged(edges)
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                rows.append((rep, kept, len(raw) - len(kept), len(spans)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.binary(), pa.int64(), pa.int64()])], names=["rep", "kept", "removed", "spans"])
+                rows.append((digest, kept, hashlib.sha256(kept).hexdigest(), len(raw) - len(kept), len(spans)))
+            kinds = [pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["digest", "kept", "sha", "removed", "spans"])
 
-    return found.mapInArrow(run, "rep long, kept binary, removed long, spans long")
+    return found.mapInArrow(run, "digest binary, kept binary, sha string, removed long, spans long")
 
 
-def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_kept: and, of documents that lose some of their
+    bytes but not all, the bytes kept (else null)."""
     each, found = covered(docs, window, anchor, key, text)
-    cut = _cut(found).select(F.col("rep").alias("doc_id"), F.sha2("kept", 256).alias("sha"), "removed", "spans")
-    joined = each.join(cut, "doc_id", "left")
+    cut = _cut(found)
+    joined = each.join((cut if with_kept else cut.drop("kept")).hint("merge"), "digest", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
-    partly = (F.col("copies") == 1) & F.col("removed").isNotNull()
+    partly = F.col("removed").isNotNull()
     return joined.select(
         "doc_id", "n_bytes",
         F.when(whole, F.col("n_bytes")).when(partly, F.col("removed")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).when(partly, F.col("spans")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(b""), 256)).when(partly, F.col("sha")).otherwise(F.col("digest")).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit(b""), 256)).when(partly, F.col("sha")).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"),
+        *([F.when(~whole, F.col("kept")).alias("kept")] if with_kept else []),
     )
