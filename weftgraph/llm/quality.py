@@ -1,12 +1,14 @@
 """Quality classifier: a weak-label model over heuristic labellers, and a hashed linear scorer learned from its posteriors.
 
-Six labellers each vote good, bad or abstain on a document. Votes of all documents are counted by pattern (3**6
-patterns at most); expectation-maximisation over these counts estimates each labeller's accuracies and the share of good
-documents. The posteriors of a bounded sample of documents are the training labels of a logistic scorer on hashed byte
-trigrams and word shapes, which then scores every document's whole text.
+Seven labellers each vote good, bad or abstain on a document; any kind of bad text they look for is seen by two of them.
+Votes of all documents are counted by pattern (3**7 patterns at most); expectation-maximisation over these counts
+estimates each labeller's accuracies on good and on bad documents and the share of good ones. The posteriors of a
+bounded sample of documents are the training labels of a logistic scorer on hashed byte trigrams and word shapes, which
+then scores every document's whole text.
 
 Nulls: a null text, or one without words, gets no vote and the score of an empty feature vector, and is kept: it gives
-no evidence against itself. Repeated rows get equal scores. An empty table gives an empty result.
+no evidence against itself. Repeated rows get equal scores and count once in the sample. A row with a null key is scored
+like any other. Texts of any length are scored whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,19 +21,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Documents that the scorer learns from at most (those whose hash comes first), and the longest text among them.
+#: Different texts that the scorer learns from at most (those whose hash comes first), and the longest one among them.
 TRAIN_ROWS, TRAIN_CHARS = 3000, 20_000
 #: Hashed features, and features that stand for the whole text (shares of symbols, capitals, repeated words, bars).
 BUCKETS, DENSE = 1 << 14, 5
-#: Highest rate of bad votes on good documents that a labeller is given.
-FALSE_ALARM = 0.0002
-LABELLERS = ("symbols", "capitals", "repeats", "bars", "variety", "long words")
-
+#: Rate of bad votes on good documents expected of a labeller, and the share of all documents that this counts for
+#: beside those seen. It tells the two classes apart; the estimate follows the votes.
+FALSE_ALARM, ANCHOR = 0.01, 0.02
+#: Posterior of good that a document of no, one, two or more bad votes starts with.
+FIRST = np.array([0.95, 0.6, 0.1, 0.02])
+LABELLERS = ("symbols", "capitals", "repeats", "bars", "variety", "long words", "letters")
+
+#: Bytes of letters, digits and the marks of prose.
+_PROSE = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 or b in b".,;:'\"()-?" for b in range(256)])
 _KIND = np.array([3 if 48 <= b <= 57 else 1 if 97 <= b <= 122 or b >= 128 else 2 if 65 <= b <= 90 else 4 if b in b"#$%&*!@^~=<>\\_+" else 5 if b == 124 else 0 for b in range(256)])
 
 
-def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, shares (n, DENSE), distinct share of words, mean word length in bytes) of the texts."""
+def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, shares (n, DENSE), distinct share of words, mean word length in bytes, share of prose bytes) of the texts."""
     n = len(offsets) - 1
     sizes = np.maximum(np.diff(offsets), 1)
     kinds = _KIND[data]
@@ -51,11 +58,12 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     # A few bytes or words more in each denominator: a short text's shares say little.
     shares = np.stack([per[:, 4] / (sizes + 20), per[:, 2] / (letters + 20), again / (counts + 8), per[:, 5] / (counts + 8), counts > 0], 1)
     mean = np.bincount(text, stops - starts, n) / total
-    return counts, shares, distinct / total, mean
+    prose = np.bincount(owner[_PROSE[data]], minlength=n) / np.maximum(np.bincount(text, stops - starts, n), 1)
+    return counts, shares, distinct / total, mean, prose
 
 
-def votes(counts: np.ndarray, shares: np.ndarray, variety: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """(n, 6) votes: 1 good, -1 bad, 0 abstain. Short texts give little evidence: most labellers abstain on them."""
+def votes(counts: np.ndarray, shares: np.ndarray, variety: np.ndarray, mean: np.ndarray, prose: np.ndarray) -> np.ndarray:
+    """(n, 7) votes: 1 good, -1 bad, 0 abstain. Short texts give little evidence: most labellers abstain on them."""
     enough = counts >= 8
 
     def vote(bad, good):
@@ -69,44 +77,51 @@ def votes(counts: np.ndarray, shares: np.ndarray, variety: np.ndarray, mean: np.
         vote(bars > 0.25, bars < 0.02),
         vote(variety < 0.2, variety > 0.4),
         vote(mean > 40, mean < 20),
+        vote(prose < 0.92, prose > 0.96),
     ], 1)
 
 
-def expectation_maximisation(patterns: np.ndarray, weights: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, float, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, weights: np.ndarray, rounds: int = 2000) -> tuple[np.ndarray, float, np.ndarray]:
     """(accuracies (labeller, [on bad, on good]), share of good documents, posterior of good for each pattern).
 
     A vote is right with the labeller's accuracy on the document's class; votes are independent given the class and an
-    abstention says nothing. The labellers are made to be silent on good text, which the M-step keeps: their rate of
-    false alarms stays at FALSE_ALARM or less. Without it the two classes may drift to any other strong correlation.
+    abstention says nothing. Both accuracies are estimated; that on good documents with a prior of FALSE_ALARM bad votes,
+    which weighs as much as ANCHOR of the documents at every size.
     """
-    k = len(LABELLERS)
+    k = patterns.shape[1] if len(patterns) else len(LABELLERS)
     if not len(patterns):
         return np.full((k, 2), 0.5), 0.5, np.zeros(0)
     bad, good = patterns == -1, patterns == 1
-    posterior = np.where(bad.any(1), 0.1, 0.9)
-    share, accuracy = 0.9, np.full((k, 2), 0.5)
+    posterior = FIRST[np.minimum(bad.sum(1), len(FIRST) - 1)]
+    total = weights.sum()
+    share, hit, alarm = 0.9, np.full(k, 0.5), np.full(k, FALSE_ALARM)
     for _ in range(rounds):
         p, q = weights * (1 - posterior), weights * posterior
-        share = float((q.sum() + 1) / (weights.sum() + 2))
-        accuracy = np.stack([(p @ bad + 1) / (p @ (bad | good) + 2), np.maximum((q @ good + 1) / (q @ (bad | good) + 2), 1 - FALSE_ALARM)], 1)
-        logs = np.log((1 - share) / share) + bad @ np.log(accuracy[:, 0] / (1 - accuracy[:, 1])) + good @ np.log((1 - accuracy[:, 0]) / accuracy[:, 1])
+        share = float((q.sum() + 1) / (total + 2))
+        hit = (p @ bad + 1) / (p @ (bad | good) + 2)
+        alarm = (q @ bad + FALSE_ALARM * (ANCHOR * total + 1)) / (q @ (bad | good) + ANCHOR * total + 1)
+        logs = np.log((1 - share) / share) + bad @ np.log(hit / alarm) + good @ np.log((1 - hit) / (1 - alarm))
         new = 1 / (1 + np.exp(np.clip(logs, -50, 50)))
-        if np.abs(new - posterior).max() < 1e-9:
-            break
+        settled = np.abs(new - posterior).max() < 1e-9
         posterior = new
-    return accuracy, share, posterior
+        if settled:
+            break
+    return np.stack([hit, 1 - alarm], 1), share, posterior
 
 
-def _hashed(data: np.ndarray) -> np.ndarray:
-    """Bucket of the byte trigram that starts at each byte (the last two are padded), letters lower-cased."""
+def _hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bucket of the byte trigram that starts at each byte (zeros follow a text), letters lower-cased."""
     low = np.concatenate([common.lowered(data), np.zeros(2, np.uint8)]).astype(np.uint32)
-    code = low[:-2] << 16 | low[1:-1] << 8 | low[2:]
+    second, third = low[1:-1].copy(), low[2:].copy()
+    sizes, ends = np.diff(offsets), offsets[1:]
+    second[ends[sizes > 0] - 1] = third[ends[sizes > 0] - 1] = third[ends[sizes > 1] - 2] = 0
+    code = low[:-2] << 16 | second << 8 | third
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - 14)).astype(np.int64)
 
 
 def linear_scores(data: np.ndarray, offsets: np.ndarray, shares: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Probability of good for each text: mean weight of its trigrams, and its shares."""
-    own = np.concatenate([np.zeros(1), np.cumsum(weights[:BUCKETS][_hashed(data)])])
+    own = np.concatenate([np.zeros(1), np.cumsum(weights[:BUCKETS][_hashed(data, offsets)])])
     sizes = np.diff(offsets) + 100
     z = (own[offsets[1:]] - own[offsets[:-1]]) / sizes * SCALE + (shares * DENSE_SCALE) @ weights[BUCKETS:-1] + weights[-1]
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -123,7 +138,7 @@ def learn(data: np.ndarray, offsets: np.ndarray, shares: np.ndarray, target: np.
         out = np.zeros(BUCKETS + DENSE + 1)
         out[-1] = 5.0
         return out
-    slot = np.repeat(np.arange(n), np.diff(offsets)) * BUCKETS + _hashed(data)
+    slot = np.repeat(np.arange(n), np.diff(offsets)) * BUCKETS + _hashed(data, offsets)
     cells, count = np.unique(slot, return_counts=True)
     row, column = cells // BUCKETS, cells % BUCKETS
     value = count / (np.diff(offsets) + 100)[row] * SCALE
@@ -145,6 +160,18 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def sampled(chosen: DataFrame, rows: int) -> DataFrame:
+    """The `rows` different texts of 1 to TRAIN_CHARS code points whose hash comes first.
+
+    The hash below which they lie is found from the number of different hashes; texts beyond it are not moved.
+    """
+    usable = chosen.where(F.length("text").between(1, TRAIN_CHARS)).select("text", F.xxhash64("text").alias("h"))
+    different = usable.agg(F.approx_count_distinct("h", 0.05)).first()[0]
+    wanted = 1.3 * rows + 10 * rows**0.5 + 100  # the estimate is within 0.05 as a standard deviation, the sample within a root
+    below = -(1 << 63) + int(min(1.0, wanted / max(1, different)) * ((1 << 64) - 1))
+    return usable.where(F.col("h") <= F.lit(min(below, (1 << 63) - 1))).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(rows).select("text")
+
+
 def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, dict]:
     """(weights of the scorer, report): votes are counted over all documents, the scorer learns from `rows` of them."""
     spark = docs.sparkSession
@@ -163,8 +190,7 @@ def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: s
     patterns = np.array([np.frombuffer(r[0], np.int8) for r in counted], np.int64).reshape(-1, len(LABELLERS))
     accuracy, share, posterior = expectation_maximisation(patterns, np.array([r[1] for r in counted], float))
     known = {p.astype(np.int8).tobytes(): q for p, q in zip(patterns, posterior)}
-    usable = chosen.where(F.length("text").between(1, TRAIN_CHARS))
-    learned = usable.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(rows).select("text").toArrow().combine_chunks()
+    learned = sampled(chosen, rows).toArrow().combine_chunks()
     column = learned.column("text").combine_chunks() if learned.num_rows else pa.array([], pa.string())
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     data, offsets = common.utf8(column)
@@ -178,7 +204,7 @@ def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: s
 
 def _score(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
     data, offsets = common.utf8(batch.column("text"))
-    counts, shares, _, _ = measures(data, offsets)
+    counts, shares, _, _, _ = measures(data, offsets)
     return np.where(counts > 0, linear_scores(data, offsets, shares, weights), 1.0)
 
 
