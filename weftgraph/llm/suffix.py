@@ -271,10 +271,10 @@ def _pieces(hit: DataFrame, window: int, anchor: int) -> DataFrame:
                 own = [raw[a : a + n] for a, n in zip(start[j].tolist(), size[j].tolist())]
                 at = (place - low)[j]
                 names = [hashlib.blake2b(p, digest_size=16, salt=k.to_bytes(8, "little")).digest() for p, k in zip(own, at.tolist())]
-                columns = [block.column("digest").take(pa.array(text[j])), block.column("alone").take(pa.array(text[j])), pa.array(hashes[j].view(np.int64)), pa.array(low[j]), pa.array(at), pa.array(names, pa.binary()), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["digest", "alone", "hash", "first", "anchor", "name", "piece"])
+                columns = [block.column("tid").take(pa.array(text[j])), block.column("alone").take(pa.array(text[j])), pa.array(hashes[j].view(np.int64)), pa.array(low[j]), pa.array(at), pa.array(names, pa.binary()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["tid", "alone", "hash", "first", "anchor", "name", "piece"])
 
-    return hit.mapInArrow(run, "digest binary, alone boolean, hash long, first long, anchor long, name binary, piece binary")
+    return hit.mapInArrow(run, "tid long, alone boolean, hash long, first long, anchor long, name binary, piece binary")
 
 
 def _sorted_pieces(pieces: DataFrame, window: int) -> DataFrame:
@@ -338,24 +338,25 @@ def _windows(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row per row of docs: doc_id, digest, n_bytes, copies of its text; per text that occurs once and has repeats:
-    digest, text, edges of what is covered)."""
+    """(one row per row of docs: doc_id, digest, n_bytes, copies and number (tid) of its text; per text that occurs once and
+    has repeats: tid, text, edges of what is covered)."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sets = common.stored(spark, _sets(texts, window, anchor), "anchors")
-    groups = common.stored(spark, sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "texts")
+    groups = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # A number for each text; it stays as it was written.
+    groups = common.stored(spark, groups.withColumn("tid", F.monotonically_increasing_id()), "texts")
     # One row of each text stands for it; rows that are repeated whole come more than once, which changes no result, as
     # all that they hold occurs twice.
-    chosen = groups.select(F.col("digest").alias("d"), "rep", "copies")
-    own = sets.join(chosen, F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("digest", "rep", "copies", "anchors")
-    places = own.select("digest", "rep", "copies", F.explode("anchors").alias("hash"))
+    chosen = groups.select(F.col("digest").alias("d"), "rep", "tid", (F.col("copies") == 1).alias("alone"))
+    this = F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))
+    places = sets.join(chosen, this).select("tid", F.explode("anchors").alias("hash"))
     repeated = common.stored(spark, places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
-    per_text = places.join(repeated, "hash").groupBy("digest", "rep").agg(F.collect_set("hash").alias("repeated"), (F.max("copies") == 1).alias("alone"))
-    per_text = per_text.withColumnRenamed("digest", "d")
+    per_text = places.join(repeated, "hash").groupBy("tid").agg(F.collect_set("hash").alias("repeated"))
+    per_text = chosen.join(per_text.hint("merge"), "tid")
     named = texts.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    hit = named.join(per_text.hint("merge"), F.col("digest").eqNullSafe(F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    hit = common.stored(spark, hit.select("digest", "text", "alone", "repeated"), "hit")
+    hit = common.stored(spark, named.join(per_text.hint("merge"), this).select("tid", "text", "alone", "repeated"), "hit")
     pieces = common.stored(spark, _pieces(hit, window, anchor), "pieces")
     distinct = common.stored(spark, pieces.groupBy("hash", "anchor", "name", "piece").agg(F.count(F.lit(1)).alias("n")), "distinct")
     many = common.stored(spark, distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > GROUP).select("hash"), "many")
@@ -366,26 +367,26 @@ def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: st
     wide = windows.join(twice, "bytes").select("name", F.array("start", F.col("start") + window).alias("edges"))
     whole = distinct.join(many, "hash", "left_semi").where("n > 1").select("name", F.array(F.lit(0).cast("long"), F.length("piece").cast("long")).alias("edges"))
     solved = common.stored(spark, _sorted_pieces(few, window), "solved").unionByName(wide).unionByName(whole)
-    placed = pieces.where("alone").select("digest", "first", "name").join(solved.hint("merge"), "name")
-    edges = placed.select("digest", F.transform("edges", lambda e: e + F.col("first")).alias("edges")).groupBy("digest").agg(F.flatten(F.collect_list("edges")).alias("edges"))
-    return sets.drop("anchors").join(groups.drop("rep"), "digest"), hit.where("alone").select("digest", "text").join(edges.hint("merge"), "digest")
+    placed = pieces.where("alone").select("tid", "first", "name").join(solved.hint("merge"), "name")
+    edges = placed.select("tid", F.transform("edges", lambda e: e + F.col("first")).alias("edges")).groupBy("tid").agg(F.flatten(F.collect_list("edges")).alias("edges"))
+    return sets.drop("anchors").join(groups.drop("rep"), "digest"), hit.where("alone").select("tid", "text").join(edges.hint("merge"), "tid")
 
 
 def _cut(found: DataFrame) -> DataFrame:
-    """digest, the bytes kept, their digest, removed bytes and removed runs."""
+    """tid, the bytes kept, their digest, removed bytes and removed runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             rows = []
-            for digest, text, edges in zip(*(block.column(c).to_pylist() for c in ("digest", "text", "edges"))):
+            for tid, text, edges in zip(*(block.column(c).to_pylist() for c in ("tid", "text", "edges"))):
                 raw, spans = text.encode(), _merged(edges)
                 ends = [0, *(x for s in spans for x in s), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
-                rows.append((digest, kept, hashlib.sha256(kept).hexdigest(), len(raw) - len(kept), len(spans)))
-            kinds = [pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["digest", "kept", "sha", "removed", "spans"])
+                rows.append((tid, kept, hashlib.sha256(kept).hexdigest(), len(raw) - len(kept), len(spans)))
+            kinds = [pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["tid", "kept", "sha", "removed", "spans"])
 
-    return found.mapInArrow(run, "digest binary, kept binary, sha string, removed long, spans long")
+    return found.mapInArrow(run, "tid long, kept binary, sha string, removed long, spans long")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text", with_kept: bool = False) -> DataFrame:
@@ -393,7 +394,7 @@ def removed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, key: st
     bytes but not all, the bytes kept (else null)."""
     each, found = covered(docs, window, anchor, key, text)
     cut = _cut(found)
-    joined = each.join((cut if with_kept else cut.drop("kept")).hint("merge"), "digest", "left")
+    joined = each.join((cut if with_kept else cut.drop("kept")).hint("merge"), "tid", "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= window)
     partly = F.col("removed").isNotNull()
     return joined.select(
