@@ -35,6 +35,7 @@ ORACLE = {
           SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') WHERE dst IS NOT NULL AND src <> dst""",
     "chain_nodes": "SELECT src AS id FROM chain_edges UNION SELECT dst FROM chain_edges",
     "commits": "SELECT DISTINCT CAST(user_id AS VARCHAR) || '@' || CAST(date_trunc('day', ts) AS VARCHAR) AS commit_id, event_type || '_' || CAST(event_id % 12 AS VARCHAR) AS file_path FROM events",
+    "sup": "SELECT s_suppkey AS s, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "routes": "SELECT 'route.' || regexp_replace('/' || CAST(page_id % 40 AS VARCHAR) || '/p', '[^A-Za-z0-9]', '_', 'g') || '.GET' AS id, page_id, 'GET /' || CAST(page_id % 40 AS VARCHAR) || '/p' AS name FROM pages",
 }
 
@@ -129,6 +130,10 @@ class Tables:
         full = led.join(F.broadcast(heads), "part", "left").withColumn("dst", F.when(F.col("key_next").isNotNull(), F.col("next")).otherwise(F.col("head")))
         return full.where("dst IS NOT NULL AND dst <> o_custkey").select(F.col("o_custkey").cast("string").alias("src"), F.col("dst").cast("string").alias("dst")).distinct()
 
+    def sup(self) -> DataFrame:
+        """Suppliers as plain numbers: key s, nation n, region r."""
+        return self.read("supplier").join(F.broadcast(self.read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).selectExpr("s_suppkey AS s", "n_nationkey AS n", "n_regionkey AS r")
+
     def commits(self) -> DataFrame:
         return self.read("events").select(F.concat(F.col("user_id").cast("string"), F.lit("@"), F.date_trunc("day", "ts").cast("string")).alias("commit_id"), F.concat("event_type", F.lit("_"), F.col("event_id") % 12).alias("file_path")).distinct()
 

@@ -13,8 +13,8 @@ from ..work import stored
 
 #: Edges up to which the order-dependent community search runs in one task; above it labels spread in parallel.
 COMMUNITY_EDGES = 200_000
-#: Rounds of ranking that run as one job.
-STRETCH = 5
+#: Rounds of ranking that run as one job; edges and vertices up to which all rounds run in one task, with the same sums.
+STRETCH, RANK_EDGES = 5, 1_000_000
 #: Vertices above which betweenness is 0, and up to which every vertex is a pivot.
 BETWEENNESS_MOST, BETWEENNESS_EXACT, PIVOTS = 200_000, 1500, 128
 
@@ -83,7 +83,7 @@ def pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, damping
     seeds: teleport weights that sum to 1; all vertices alike without any. The rounds are linear in the teleport vector
     t: with y(i) = (damping A)**i t, ranks are sums of the y(i) whose factors follow from the mass that each y(i) has
     on vertices without out-edges. So no round waits for a sum, a round is one shuffle (by target, which is also how
-    the vertices and shares lie), and STRETCH rounds make one job.
+    the vertices and shares lie), and STRETCH rounds make one job. A graph of a checked size is ranked in one task.
     """
     n = vertices.count()
     if not n:
@@ -93,6 +93,9 @@ def pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, damping
     known = edges.select("src", "dst").join(vertices.select(F.col("id").alias("src")), "src", "left_semi").join(vertices.select(F.col("id").alias("dst")), "dst", "left_semi")
     ends = stored(spark, known.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")), "ends")
     out = ends.groupBy("src").agg(F.sum("m").alias("total"))
+    if n + ends.count() <= RANK_EDGES:
+        both = ends.unionByName(vertices.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), teleport.alias("m")), allowMissingColumns=True)
+        return both.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda frame: _ranked(frame, damping, rounds), "id string, rank double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shares = stored(spark, ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("total")).alias("share")), "shares").repartition(parts, "src").persist()
     base = vertices.select("id").join(out.select(F.col("src").alias("id"), F.lit(True).alias("leads")), "id", "left")
@@ -118,6 +121,22 @@ def pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, damping
     return state.select("id", F.aggregate(F.zip_with("ys", share, lambda y, f: y * f), F.lit(0.0), lambda a, x: a + x).alias("rank"))
 
 
+def _ranked(frame: pd.DataFrame, damping: float, rounds: int) -> pd.DataFrame:
+    """Ranks of one task's graph: rows with a target are edges with their number, those without are vertices with their teleport."""
+    own = frame["dst"].isna().to_numpy()
+    ids = np.sort(frame.loc[own, "src"].to_numpy(str))
+    teleport = np.zeros(len(ids))
+    teleport[np.searchsorted(ids, frame.loc[own, "src"].to_numpy(str))] = frame.loc[own, "m"]
+    src, dst = (np.searchsorted(ids, frame.loc[~own, c].to_numpy(str)) for c in ("src", "dst"))
+    many = frame.loc[~own, "m"].to_numpy(float)
+    out = np.bincount(src, many, len(ids))
+    share = many / out[src]
+    rank = teleport
+    for _ in range(rounds):
+        rank = (1 - damping + damping * rank[out == 0].sum()) * teleport + damping * np.bincount(dst, rank[src] * share, len(ids))
+    return pd.DataFrame({"id": ids.astype(object), "rank": rank})
+
+
 def personalized_pagerank(spark: SparkSession, vertices: DataFrame, edges: DataFrame, seeds: list[str], damping: float = 0.6, rounds: int = 50) -> DataFrame:
     """Teleports to the seeds; a repeated seed keeps its repeated weight. Without seeds to all vertices."""
     weights: dict[str, float] = {}
@@ -164,16 +183,15 @@ def _louvain(n: int, pairs: list[tuple[int, int]]) -> list[int]:
     for _ in range(20):
         moved = False
         for v in range(n):
-            links: dict[int, int] = {}
+            if not around[v]:
+                continue
+            links = {home[v]: 0}
             for u, w in around[v].items():
-                if u != v:
-                    links[home[u]] = links.get(home[u], 0) + w
+                links[home[u]] = links.get(home[u], 0) + w
             weight[home[v]] -= degree[v]
-            best, gain = home[v], links.get(home[v], 0) - degree[v] * weight[home[v]] / total
-            for c in sorted(links):
-                own = links[c] - degree[v] * weight[c] / total
-                if own > gain + 1e-12:
-                    best, gain = c, own
+            gains = {c: w - degree[v] * weight[c] / total for c, w in links.items()}
+            top = max(gains.values())
+            best = min(c for c, gain in gains.items() if top - gain <= 1e-12)  # equal gains: the smaller community
             weight[best] += degree[v]
             moved |= best != home[v]
             home[v] = best

@@ -1,13 +1,14 @@
-"""From source text to a committed graph: parse, resolve, rank and store; the partial form for changed files only."""
+"""From source text to a committed graph: parse, resolve, rank and store; refresh() for changed files only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import graph, resolution
+from ..operators import graph, incremental, resolution
 from ..operators.lookups import defines_edges, degrees, without_dangling
 from ..sources.parser import parsed
 from ..store import GraphStore
+from ..work import stored
 
 TABLES = ("nodes", "calls", "symbol_refs", "inherits", "fields", "imports", "locals", "type_refs")
 
@@ -20,18 +21,75 @@ def evidence(store: GraphStore, files: DataFrame, project: str) -> None:
         store.save_by_file(name, rows, files)
 
 
-def resolve(store: GraphStore, ambiguous: bool = False) -> None:
-    """All edges from the stored evidence."""
+def _edges(store: GraphStore, ambiguous: bool, files: DataFrame | None = None) -> DataFrame:
+    """Edges by syntax: of all files, or of those with their source in some files."""
     t = store.table
     nodes = t("nodes")
-    calls = resolution.call_edges(store.spark, nodes, t("calls"), t("inherits"), t("fields"), t("locals"), t("imports"), ambiguous)
+    calls = resolution.call_edges(store.spark, nodes, t("calls"), t("inherits"), t("fields"), t("locals"), t("imports"), ambiguous, files)
     inheritance = resolution.inheritance_edges(nodes, t("inherits")).withColumns({"tier": F.lit("TreeSitter"), "confidence": F.lit("Extracted")})
-    edges = calls.unionByName(inheritance, allowMissingColumns=True).unionByName(defines_edges(nodes), allowMissingColumns=True)
-    compiler = t("edges").where("tier = 'Scip'")
-    store.replace("edges", without_dangling(nodes, resolution.superseded(edges, compiler)))
+    rest = inheritance.unionByName(defines_edges(nodes), allowMissingColumns=True)
+    if files is not None:
+        rest = rest.join(files.select(F.col("file_path").alias("src_file")).distinct(), "src_file", "left_semi")
+    return calls.unionByName(rest, allowMissingColumns=True)
+
+
+def resolve(store: GraphStore, ambiguous: bool = False, files: DataFrame | None = None) -> None:
+    """All edges from the stored evidence; with files those of these files, beside what the store has of the others."""
+    edges = _edges(store, ambiguous, files)
+    if files is not None:
+        edges = incremental.merged_edges(store.table("edges"), edges, files)
+    compiler = store.table("edges").where("tier = 'Scip'")
+    store.replace("edges", without_dangling(store.table("nodes"), resolution.superseded(edges, compiler)))
     store.replace("hyperedges", resolution.implementer_hyperedges(store.table("edges")))
 
 
+def _listing(files: DataFrame) -> DataFrame:
+    """(file_path, text, sha256, mtime); what is missing is computed from the text."""
+    if "sha256" not in files.columns:
+        files = files.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return files if "mtime" in files.columns else files.withColumn("mtime", F.xxhash64("sha256"))
+
+
+def _shapes(store: GraphStore, files: DataFrame) -> DataFrame:
+    own = lambda name: store.table(name).join(files.select("file_path").distinct(), "file_path", "left_semi")
+    return incremental.file_shapes(own("nodes"), {name: own(name) for name in ("inherits", "fields", "imports", "type_refs")})
+
+
+def refresh(store: GraphStore, files: DataFrame, project: str, full: bool = False, ambiguous: bool = False, analytics: bool = True) -> str:
+    """Bring the store up to a listing of all files (file_path, text and, if known, sha256 and mtime) and commit.
+
+    Files are parsed where their content changed, and forgotten where they vanished. Only sites that the change can touch
+    are resolved again where that gives what a full run would. Returns unchanged, partial, or full and the reason.
+    """
+    spark, listing = store.spark, _listing(files)
+    state = stored(spark, incremental.changes(listing, store.table("manifest")), "changes")
+    parse, vanished = state.where("state = 'parse'"), state.where("state = 'vanished'")
+    touched = state.where("state IN ('parse', 'refreshed')").select("file_path", "sha256", "mtime")
+    if touched.isEmpty() and vanished.isEmpty():
+        return "unchanged"
+    outcome = "unchanged"
+    if not (parse.isEmpty() and vanished.isEmpty()):
+        before = stored(spark, _shapes(store, parse), "shapes")
+        evidence(store, listing.join(parse.select("file_path"), "file_path", "left_semi"), project)
+        if not vanished.isEmpty():
+            store.delete_files(vanished)
+            store.delete_files(vanished, ("manifest",))
+        shapes = stored(spark, incremental.shape_changes(before, _shapes(store, parse)), "shapes")
+        compiler = not store.table("edges").where("tier = 'Scip'").isEmpty()
+        fine, why = incremental.partial_allowed(shapes, store.table("inherits"), vanished, state.count(), full, compiler)
+        if fine:
+            dirty = shapes.select(F.explode("dirty").alias("name"))
+            resolve(store, ambiguous, stored(spark, incremental.wave(parse, dirty, store.table("calls")), "wave"))
+        else:
+            resolve(store, ambiguous)
+        outcome = "partial" if fine else f"full: {why}"
+        if analytics:
+            analyse(store)
+    store.upsert("manifest", touched)
+    store.commit()
+    return outcome
+
+
 def analyse(store: GraphStore) -> None:
     nodes, edges = store.table("nodes"), store.table("edges")
     store.update_analytics(graph.analyse(store.spark, nodes.select("id"), edges).join(degrees(edges), "id", "left"))
@@ -43,4 +101,5 @@ def index(store: GraphStore, files: DataFrame, project: str, analytics: bool = T
     resolve(store)
     if analytics:
         analyse(store)
+    store.upsert("manifest", _listing(files).select("file_path", "sha256", "mtime"))
     return store.commit()

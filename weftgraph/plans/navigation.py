@@ -28,8 +28,9 @@ class Answer:
 class Navigator:
     """Tables are read once for each generation; a new one is picked up by refresh()."""
 
-    def __init__(self, store: GraphStore, embedder: vectors.Embedder | None = None, reranker=None):
-        self.store, self.embedder, self.reranker = store, embedder, reranker
+    def __init__(self, store: GraphStore, embedder: vectors.Embedder | None = None, reranker=None, model: str | None = None):
+        """model: the name of the embedder's model, which has to be that of the stored vectors."""
+        self.store, self.embedder, self.reranker, self.model = store, embedder, reranker, model
         self.refresh()
 
     def refresh(self) -> None:
@@ -166,8 +167,7 @@ class Navigator:
 
     def semantic(self, query: str, k: int = 15) -> Answer:
         own = self.nodes.withColumn("text", F.try_element_at("metadata", F.lit("text"))).drop("doc_text", "parts")
-        model = self.store.meta("embed_model")
-        hits, degraded = vectors.semantic_search(own, self.vectors, query, k, self.embedder, model, model)
+        hits, degraded = vectors.semantic_search(own, self.vectors, query, k, self.embedder, self.store.meta("embed_model"), self.model)
         return self._answer(hits, evidence="Approximate", notes={"degraded": degraded})
 
     def report(self) -> dict[str, DataFrame]:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from .fixtures_graph import Tables, oracle
+from .fixtures_graph import Tables
 from .functions import scalars as S
 from .operators import coverage, graph, lookups, resolution, search, services, vectors
 from .plans import cypher
+from .registry import ORACLE, QUERIES, Query, query
 from .sources import files
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = oracle(sql)
-        return f
-
-    return register
-
-
 SOME = "supply_7"  # a name that several suppliers share
 START, TARGET = "(SELECT min(src) FROM chain_edges)", "(SELECT min(dst) FROM chain_edges)"
 
@@ -304,6 +288,22 @@ def betweenness(spark, sf):
     return graph.betweenness(spark, _vertices(t), t.chain()).select("id", F.round("betweenness", 3).alias("betweenness"))
 
 
+@query("SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, CAST(dense_rank() OVER (ORDER BY (SELECT min(m.n_nationkey) FROM nation m WHERE m.n_regionkey = nation.n_regionkey)) - 1 AS BIGINT) AS community FROM nation")
+def communities_of_regions(spark, sf):
+    """Nations linked to all others of their region: the communities are the regions, numbered as they first appear."""
+    own = Tables(spark, sf).read("nation").select(F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("id"), "n_regionkey")
+    pairs = own.selectExpr("id AS src", "n_regionkey").join(own.selectExpr("id AS dst", "n_regionkey"), "n_regionkey").where("src < dst").select("src", "dst")
+    return graph.communities(spark, own.select("id"), pairs)[0]
+
+
+@query("SELECT 'n' || n_nationkey AS id, CAST(n_nationkey * (24 - n_nationkey) AS DOUBLE) AS betweenness FROM nation")
+def betweenness_of_a_path(spark, sf):
+    """Nations in a row: i of the 25 stands between i and 24 - i others."""
+    own = Tables(spark, sf).read("nation")
+    steps = own.where("n_nationkey < 24").selectExpr("concat('n', n_nationkey) AS src", "concat('n', n_nationkey + 1) AS dst")
+    return graph.betweenness(spark, own.selectExpr("concat('n', n_nationkey) AS id"), steps)
+
+
 TERMS = ("idiot", "worthless")
 
 
@@ -423,8 +423,11 @@ def validate_graph(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_rules, queries_store  # noqa: F401  (they register themselves)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLE)

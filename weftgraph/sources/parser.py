@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import leaf_name, subwords
+from ..work import stored
 
 _RECEIVER = "struct<kind:string,name:string>"
 EVIDENCE = {
@@ -294,16 +295,17 @@ def parse_file(project: str, path: str, text: str) -> dict[str, list]:
 
 
 def parsed(files: DataFrame, project: str) -> dict[str, DataFrame]:
-    """(file_path, text) -> the evidence tables. Parsing runs once where the result is kept (see stored)."""
+    """(file_path, text) -> the evidence tables; the files are parsed once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, text in zip(frame["file_path"], frame["text"]):
-                found = parse_file(project, path, text or "")
-                yield pd.DataFrame({k: [[_row(k, r) for r in rows]] for k, rows in found.items()})
+            for i in range(0, len(frame), 50):
+                part = frame.iloc[i : i + 50]
+                found = [parse_file(project, path, text or "") for path, text in zip(part["file_path"], part["text"])]
+                yield pd.DataFrame({k: [[_row(k, r) for r in rows[k]] for rows in found] for k in EVIDENCE})
 
     nested = files.select("file_path", "text").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in EVIDENCE.items()))
-    return split(nested)
+    return split(stored(files.sparkSession, nested, "parsed"))
 
 
 _FIELDS = {k: re.findall(r"(?:<|,)(\w+):(?!struct)|(receiver):", v) for k, v in EVIDENCE.items()}

@@ -99,13 +99,12 @@ class GraphStore:
         self._pending[name] = path
 
     def upsert(self, name: str, rows: DataFrame, keep_existing: bool = False, order: str | None = None) -> None:
-        """Rows replace those with their key, or give way to them; among new rows of one key the last by order stays."""
+        """Rows replace those with their key, or give way to them; among new rows of one key the last stays, by a column or
+        as they come."""
         keys = KEYS[name]
-        if order is not None:
-            place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
-            rows = rows.withColumn("_place", place).where("_place = 1").drop("_place")
-        else:
-            rows = rows.dropDuplicates(keys)
+        last = F.desc(order) if order is not None else F.desc("_seq")
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(last))
+        rows = rows.withColumn("_seq", F.monotonically_increasing_id()).withColumn("_place", place).where("_place = 1").drop("_place", "_seq")
         old = self.table(name)
         if keep_existing:
             self.replace(name, old.unionByName(rows.join(old.select(*keys), keys, "left_anti"), allowMissingColumns=True))
