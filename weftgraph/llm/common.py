@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..work import shared_dir, stored  # noqa: F401  (used through this module)
 
@@ -32,6 +32,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_key(key: Column, text: Column) -> tuple[Column, Column]:
+    """Two longs that tell rows apart by key and text: the key (null: the largest long), and a hash of the text and of whether the key is null."""
+    return F.coalesce(key.cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(text, key.isNull())
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Keep the Arrow batches that reach Python small, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
