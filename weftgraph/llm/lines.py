@@ -2,8 +2,8 @@
 
 A rolling hash over the hashes of WIDTH successive lines ends a chunk where it is divisible by DIVISOR, so boundaries
 depend on the lines around them alone and survive shifts. Chunks of two lines or more are counted over the corpus by
-a 128-bit hash; repeated ones are compared byte by byte with the first occurrence (smallest key, then place), which is
-kept, and then removed with one line break. Chunks of one line are never removed.
+a 128-bit hash; repeated ones are compared byte by byte with the first occurrence (smallest key, then the text's hash and
+the place in it), which is kept, and then removed with one line break. Chunks of one line are never removed.
 
 With runs=True (op2_lines and the pipeline) boundaries do not limit what is found: every two adjacent lines, and every
 line of WORDS words or more, are counted and compared in the same way. Repeated pairs that overlap make a run, which
@@ -11,9 +11,10 @@ ends in both directions where a pair did not occur earlier; pairs of blank lines
 goes if it has WORDS words or holds the repeated pairs of a whole chunk, a line of WORDS words if it occurred earlier.
 The first place of a line never goes, as every line that goes has an earlier place.
 
-Nulls: a null text stays null and has no lines; a row with a null key is left as it is. An empty text is one empty line.
-Rows that repeat a key are told apart by their chunk alone: each loses the chunks found repeated at that place, if it
-has them there. Chunks without any word (blank lines) are left alone.
+Nulls: a null text stays null and has no lines; a row with a null key takes part and comes after all others. An empty
+text is one empty line. Rows that share a key but not the text are rows of their own; a row that is repeated whole counts
+once, and its copies get equal results. Chunks without any word (blank lines) are left alone. A text of any length is
+read whole. An empty table gives an empty result. Columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -123,7 +124,9 @@ def gone(data: np.ndarray, offsets: np.ndarray, text: np.ndarray, place: np.ndar
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    """doc_id, text, and the row's own pair of longs (at, of)."""
+    at, of = common.row_key(F.col(key), F.col(text).cast("string"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), at.alias("at"), of.alias("of"))
 
 
 def _counted(width: int, divisor: int, runs: bool):
@@ -141,20 +144,20 @@ def _counted(width: int, divisor: int, runs: bool):
 
 
 def _listed(texts: DataFrame, counted) -> DataFrame:
-    """What is counted: doc_id, place, h1, h2, n_bytes."""
+    """What is counted: at, of, place, h1, h2, n_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
             data, offsets = common.utf8(block.column("text"))
             text, place, a, b, h1, h2 = counted(data, offsets)
-            ids = block.column("doc_id").take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(b - a)], names=["doc_id", "place", "h1", "h2", "n_bytes"])
+            at, of = (block.column(c).take(pa.array(text)) for c in ("at", "of"))
+            yield pa.RecordBatch.from_arrays([at, of, pa.array(place), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(b - a)], names=["at", "of", "place", "h1", "h2", "n_bytes"])
 
-    return texts.mapInArrow(run, "doc_id long, place long, h1 long, h2 long, n_bytes long")
+    return texts.mapInArrow(run, "at long, of long, place long, h1 long, h2 long, n_bytes long")
 
 
 def _taken(texts: DataFrame, counted) -> DataFrame:
-    """The bytes of what is counted at `places` (array of struct place, first) of each text."""
+    """The bytes of what is counted at `places` (array of struct place, first, h1) of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in common.blocks(batches, "text"):
@@ -162,38 +165,39 @@ def _taken(texts: DataFrame, counted) -> DataFrame:
             text, place, a, b, h1, h2 = counted(data, offsets)
             at = {(t, p): i for i, (t, p) in enumerate(zip(text.tolist(), place.tolist()))}
             rows = []
-            for t, (doc, own) in enumerate(zip(block.column("doc_id").to_pylist(), block.column("places").to_pylist())):
+            for t, (key, of, own) in enumerate(zip(*(block.column(c).to_pylist() for c in ("at", "of", "places")))):
                 for r in own:
                     if (i := at.get((t, r["place"]))) is not None and int(h1.view(np.int64)[i]) == r["h1"]:
-                        rows.append((doc, r["place"], r["first"], r["h1"], int(h2.view(np.int64)[i]), data[a[i] : b[i]].tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            columns = zip(*rows) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "place", "first", "h1", "h2", "chunk"])
+                        rows.append((key, of, r["place"], r["first"], r["h1"], int(h2.view(np.int64)[i]), data[a[i] : b[i]].tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            columns = zip(*rows) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["at", "of", "place", "first", "h1", "h2", "chunk"])
 
-    return texts.mapInArrow(run, "doc_id long, place long, first boolean, h1 long, h2 long, chunk binary")
+    return texts.mapInArrow(run, "at long, of long, place long, first boolean, h1 long, h2 long, chunk binary")
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, key: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
-    """doc_id and the places (array of struct place, h1) of the chunks, or units, of that document that occurred earlier."""
+    """at and of (a row's own pair of longs) and the places (array of struct place, h1) of its chunks, or units, that occurred earlier."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
-    texts = _texts(docs, key, text).where("doc_id is not null and text is not null")
+    texts = _texts(docs, key, text).where("text is not null").select("at", "of", "text")
     counted = _counted(width, divisor, runs)
     listed = common.stored(spark, _listed(texts, counted), "chunks")
     keys = ["h1", "h2", "n_bytes"]
-    several = listed.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n")
+    several = listed.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("owner")).where("n > 1").drop("n")
     several = common.stored(spark, several, "several")
     occurring = listed.join(several, keys)
-    # The first place in the first document: one document's chunks only, so the window is bounded by it.
-    start = occurring.where("doc_id = owner").groupBy(keys).agg(F.min("place").alias("at"))
-    start = common.stored(spark, several.join(start, keys), "first")
-    marked = listed.join(start, keys).select("doc_id", "place", "h1", ((F.col("doc_id") == F.col("owner")) & (F.col("place") == F.col("at"))).alias("first"))
-    places = marked.groupBy("doc_id").agg(F.collect_set(F.struct("place", "first", "h1")).alias("places"))
+    # The first place under the smallest key: the rows of one key only.
+    start = occurring.where("at = owner").groupBy(keys).agg(F.min(F.struct("of", "place")).alias("f"))
+    start = common.stored(spark, several.join(start, keys).select(*keys, "owner", F.col("f.of").alias("owner_of"), F.col("f.place").alias("start")), "first")
+    first = (F.col("at") == F.col("owner")) & (F.col("of") == F.col("owner_of")) & (F.col("place") == F.col("start"))
+    marked = listed.join(start, keys).select("at", "of", "place", "h1", first.alias("first"))
+    places = marked.groupBy("at", "of").agg(F.collect_set(F.struct("place", "first", "h1")).alias("places"))
     # Repeated chunks grow with the corpus: their places are never broadcast.
-    taken = common.stored(spark, _taken(texts.join(places.hint("merge"), "doc_id"), counted), "taken")
-    originals = taken.where("first").dropDuplicates(["h1", "h2", "doc_id", "place"]).select("h1", "h2", F.col("chunk").alias("original"))
+    taken = common.stored(spark, _taken(texts.join(places.hint("merge"), ["at", "of"]), counted), "taken")
+    originals = taken.where("first").dropDuplicates(["h1", "h2", "at", "of", "place"]).select("h1", "h2", F.col("chunk").alias("original"))
     same = taken.where("not first").join(common.stored(spark, originals, "originals"), ["h1", "h2"]).where("chunk = original")
-    return same.groupBy("doc_id").agg(F.collect_set(F.struct("place", "h1")).alias("places"))
+    return same.groupBy("at", "of").agg(F.collect_set(F.struct("place", "h1")).alias("places"))
 
 
 def _remover(width: int, divisor: int, runs: bool):
@@ -244,24 +248,27 @@ def digests(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, key: st
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(total.astype(np.int64)), pa.array(lost.astype(np.int64)), pa.array(sums)], names=["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     places = repeated(docs, width, divisor, key, text, runs)
-    return _texts(docs, key, text).join(places.hint("merge"), "doc_id", "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return _texts(docs, key, text).join(places.hint("merge"), ["at", "of"], "left").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, divisor: int = DIVISOR, runs: bool = False) -> DataFrame:
     """docs with repeated chunks, or runs of lines, cut from text; all rows and other columns stay (a text may become empty)."""
     without = _remover(width, divisor, runs)
-    at = docs.columns.index("text")
-    # The extra column may not clash with one of the table's own.
-    own = "places"
-    kept = docs.withColumnRenamed(own, "own_places") if own in docs.columns else docs
-    joined = kept.join(repeated(docs, width, divisor, runs=runs).hint("merge"), "doc_id", "left").select(*kept.columns, own)
+    column = [c.lower() for c in docs.columns].index("text")
+    at, of, own = common.fresh(docs, "at", "of", "places")
+    found = repeated(docs, width, divisor, runs=runs).select(F.col("at").alias(at), F.col("of").alias(of), F.col("places").alias(own))
+    key, hashed = common.row_key(F.col("doc_id"), F.col("text").cast("string"))
+    # The workers know columns by their place: the names of the table are its own.
+    joined = docs.withColumns({at: key, of: hashed}).join(found.hint("merge"), [at, of], "left").select(*docs.columns, own)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text"):
-            texts, _, _ = without(block)
-            columns = block.columns[:-1]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays(batch.columns, names=[*(f"c{i}" if i != column else "text" for i in range(batch.num_columns - 1)), "places"])
+            for block in common.blocks(iter([named]), "text"):
+                texts, _, _ = without(block)
+                columns = block.columns[:-1]
+                columns[column] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(run, schema)
