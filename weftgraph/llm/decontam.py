@@ -4,13 +4,16 @@ Each shard (a block of training documents) gets a suffix array over its words, s
 of the benchmark's vocabulary can start a match, so only their positions enter it, and a word outside that vocabulary
 ends every match. Every suffix of every benchmark item is then searched by binary search, word by word, all of them
 at once: the intervals after w words give all places of a window of w words, the last non-empty one the longest
-verbatim match. Shards do not depend on each other, so nothing is shuffled; the benchmark is sent to the executors in
-blocks of bounded size, one pass over the documents for each block.
+verbatim match. A document place that leaves the interval of a suffix after w words shares w words with it, so the
+longest match of every place, with any suffix, comes from the same search. Shards do not depend on each other, so nothing
+is shuffled; the benchmark is sent to the executors in blocks of bounded size, and a worker takes one after the other
+over the documents it holds. Results do not depend on how either side is cut.
 
 Words: A-Z lower-cased, then runs of digits, a-z and everything beyond ASCII. A window is `window` consecutive words
 of an item; an item with fewer words, but not none, is one window. Nulls and texts without words have no hits; items
 with a null text have no window; a null item id is kept as a null id and left out of id lists. Repeated items each
-count. A document with a null key is searched like any other.
+count. A document with a null key is searched like any other, a repeated row gets equal results. A text of any length is
+searched whole, as a shard of its own if it is over BLOCK_BYTES. Empty tables give no rows, or rows without hits.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-#: Benchmark bytes that one pass over the documents searches for; a larger benchmark takes more passes.
+#: Benchmark bytes that are searched for at once; of a larger benchmark a worker holds one such part at a time.
 PASS_BYTES = 8 << 20
 
 
@@ -122,18 +126,32 @@ def suffix_array(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return sa
 
 
-def search(words: np.ndarray, sa: np.ndarray, q: Queries, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every benchmark suffix: the interval of sa after wanted words (empty if none), its longest match in words, and a place of that."""
+def search(words: np.ndarray, sa: np.ndarray, q: Queries, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every benchmark suffix the interval of sa after wanted words (empty if none), and for every place of sa the
+    most words that any benchmark suffix shares with it."""
     m = len(q.words)
     item_end = np.repeat(q.firsts[1:], np.diff(q.firsts))
     low, high = np.zeros(m, np.int64), np.full(m, len(sa), np.int64)
-    longest, place = np.zeros(m, np.int64), np.full(m, -1, np.int64)
+    reach = np.zeros(len(sa), np.int64)
     kept = np.zeros((2, m), np.int64)
     padded = np.concatenate([words, [0]])
     n = len(words)
-    active = np.flatnonzero(high > low)
     depth = 0
+
+    def left(start: np.ndarray, stop: np.ndarray) -> None:
+        """These ranges of sa share depth words with a suffix, and no more; depth never falls from call to call."""
+        size = stop - start
+        if depth and (total := int(size.sum())):
+            if total <= len(sa):
+                reach[np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)] = depth
+            else:
+                step = np.bincount(start, minlength=len(sa) + 1) - np.bincount(stop, minlength=len(sa) + 1)
+                reach[np.cumsum(step)[:-1] > 0] = depth
+
+    active = np.flatnonzero(high > low)
     while len(active):
+        ended = active[active + depth >= item_end[active]]
+        left(low[ended], high[ended])
         active = active[active + depth < item_end[active]]
         if not len(active):
             break
@@ -148,19 +166,31 @@ def search(words: np.ndarray, sa: np.ndarray, q: Queries, wanted: np.ndarray) ->
                 a = np.where(right, mid + 1, a)
                 b = np.where(go & ~right, mid, b)
             bounds.append(a)
+        left(low[active], bounds[0])
+        left(bounds[1], high[active])
         low[active], high[active] = bounds
-        found = bounds[1] > bounds[0]
-        active = active[found]
+        active = active[bounds[1] > bounds[0]]
         depth += 1
-        longest[active] = depth
-        place[active] = sa[low[active]]
         full = active[wanted[active] == depth]
         kept[0, full], kept[1, full] = low[full], high[full]
-    return kept[0], kept[1], longest, place
+    return kept[0], kept[1], reach
 
 
-def scan(block: pa.RecordBatch, q: Queries) -> list[tuple]:
-    """(n_words, hit word flags of the block's words, first words of texts, items of each text, longest match, its item and places)."""
+def located(q: Queries, sequence: np.ndarray) -> tuple[int, int]:
+    """(item, word in it) of the first place of these words within one item."""
+    at = np.flatnonzero(q.words == sequence[0])
+    at = at[at + len(sequence) <= q.firsts[np.searchsorted(q.firsts, at, "right")]]
+    for k in range(1, len(sequence)):
+        at = at[q.words[at + k] == sequence[k]]
+    item = int(np.searchsorted(q.firsts, at[0], "right")) - 1
+    return item, int(at[0] - q.firsts[item])
+
+
+def scan(block: pa.RecordBatch, q: Queries, least: int | None = None) -> list[tuple]:
+    """For each text (n_words, flags of its hit words, items, words of its longest match, (item, its word, word of the text)).
+
+    The places of a longest match are looked up where it has `least` words or more, else they are -1.
+    """
     data, offsets = common.utf8(block.column("text"))
     data = common.lowered(data)
     starts, stops, firsts = common.words(data, offsets, common.LETTERS)
@@ -174,7 +204,7 @@ def scan(block: pa.RecordBatch, q: Queries) -> list[tuple]:
     hit = np.zeros(len(spread) + 1, np.int64)
     items: list[set] = [set() for _ in range(n_docs)]
     best = np.zeros(n_docs, np.int64)
-    where: list[tuple] = [(None, -1, -1)] * n_docs
+    where: list[tuple] = [(-1, -1, -1)] * n_docs
     at = np.flatnonzero(spread > 0)
     if len(at) and len(q.words):
         item_of = np.repeat(np.arange(len(q.ids)), np.diff(q.firsts))
@@ -183,7 +213,7 @@ def scan(block: pa.RecordBatch, q: Queries) -> list[tuple]:
         room = q.firsts[item_of + 1] - np.arange(len(q.words))
         wanted = np.where(room >= width, width, -1)
         sa = suffix_array(spread, at, int(size.max()))
-        low, high, longest, place = search(spread, sa, q, wanted)
+        low, high, reach = search(spread, sa, q, wanted)
         owner = np.zeros(len(spread), np.int64)
         owner[places] = doc_of
         for s in np.flatnonzero(high > low):
@@ -192,11 +222,13 @@ def scan(block: pa.RecordBatch, q: Queries) -> list[tuple]:
             hit[own + width[s]] -= 1
             for d in np.unique(owner[own]).tolist():
                 items[d].add(int(item_of[s]))
-        for s in np.flatnonzero(longest):
-            d = owner[place[s]]
-            if longest[s] > best[d]:
-                first = int(place[s] - d - firsts[d])
-                best[d], where[d] = longest[s], (int(item_of[s]), int(s - q.firsts[item_of[s]]), first)
+        np.maximum.at(best, owner[sa], reach)
+        if least is not None:
+            first = np.full(n_docs, len(spread), np.int64)
+            top = reach == best[owner[sa]]
+            np.minimum.at(first, owner[sa[top]], sa[top])
+            for d in np.flatnonzero(best >= max(1, least)).tolist():
+                where[d] = (*located(q, spread[first[d] : first[d] + best[d]]), int(first[d] - d - firsts[d]))
     flags = np.cumsum(hit[:-1]) > 0
     return [(int(firsts[d + 1] - firsts[d]), flags[places[firsts[d] : firsts[d + 1]]], items[d], int(best[d]), where[d]) for d in range(n_docs)]
 
@@ -216,111 +248,89 @@ def benchmark_blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[list
     yield block
 
 
+def _shared(benchmark: DataFrame, window: int, key: str, text: str) -> list[Broadcast]:
+    """The prepared blocks, each sent as soon as it is read: the driver holds one at a time."""
+    return [benchmark.sparkSession.sparkContext.broadcast(prepare(block, window)) for block in benchmark_blocks(benchmark, key, text)]
+
+
+def _each(shared: list[Broadcast]) -> Iterator[Queries]:
+    """The blocks one after the other; of several, a worker keeps none behind."""
+    for part in shared:
+        yield part.value
+        if len(shared) > 1:
+            part.__dict__.pop("_value", None)
+
+
+@dataclass
+class Found:
+    """What the blocks of the benchmark together say of one text."""
+
+    flags: np.ndarray | None = None
+    ids: tuple = ()
+    longest: int = 0
+    place: tuple = (None, -1, -1)
+
+
+def _scanned(block: pa.RecordBatch, shared: list[Broadcast], least: int | None = None) -> list[Found]:
+    out = [Found() for _ in range(block.num_rows)]
+    for q in _each(shared):
+        for f, (_, flags, own, longest, (item, word, at)) in zip(out, scan(block, q, least)):
+            f.flags = flags if f.flags is None else f.flags | flags
+            f.ids += tuple(q.ids[i] for i in own)
+            # Of matches of one length the one that the text holds first counts, then the benchmark's first.
+            if longest > f.longest or (longest == f.longest and 0 <= at < f.place[2]):
+                f.longest, f.place = longest, (q.ids[item] if item >= 0 else None, word, at)
+    return out
+
+
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, longest_match (words that some benchmark suffix
-    that this shard found first there shares with it; at least the length of the document's longest window found)."""
-    spark = docs.sparkSession
-    common.arrow_limits(spark)
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, longest_match (most words that it shares with a benchmark item)."""
+    common.arrow_limits(docs.sparkSession)
     chosen = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = list(benchmark_blocks(benchmark, item, item_text)) if benchmark is not None else [[]]
-    if len(blocks) > 1:
-        return _several(chosen, blocks, window)
-    shared = spark.sparkContext.broadcast(prepare(blocks[0], window))
+    shared = _shared(benchmark, window, item, item_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
         for block in common.blocks(batches, "text"):
             rows = []
-            for doc, (n, flags, found, best, _) in zip(block.column("doc_id").to_pylist(), scan(block, q)):
-                names = sorted(q.ids[i] for i in found if q.ids[i] is not None)
-                n_hit = int(flags.sum())
-                rows.append((doc, n, n_hit, len(found), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, best))
+            for doc, f in zip(block.column("doc_id").to_pylist(), _scanned(block, shared)):
+                names = sorted(i for i in f.ids if i is not None)
+                n_hit = int(f.flags.sum())
+                rows.append((doc, len(f.flags), n_hit, len(f.ids), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0, f.longest))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return chosen.mapInArrow(run, RESULT)
 
 
-def _several(chosen: DataFrame, blocks: list[list[tuple]], window: int) -> DataFrame:
-    """A benchmark of more than one block: one pass each over all rows, every row with what the passes before it found.
+def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
+    """The longest verbatim match of each document, where it has `least` words or more: doc_id, item_id, item_word, doc_word, words.
 
-    Rows are never put together by key, so repeated and null keys get results of their own. State of a row: spans (flat
-    starts and stops of its hit words), names and nulls of its items, and the longest match.
+    Of several of that length the first one in the document is given, at its first place in the benchmark.
     """
-    spark = chosen.sparkSession
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64(), pa.int64()]
-    schema = "doc_id long, text string, n long, spans array<long>, names array<string>, nulls long, most long"
-    columns = [x.split()[0] for x in schema.split(", ")]
-    found = chosen.select(
-        "doc_id", "text", F.lit(0).cast("long").alias("n"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("names"),
-        F.lit(0).cast("long").alias("nulls"), F.lit(0).cast("long").alias("most"),
-    )
-    for items in blocks:
-        shared = spark.sparkContext.broadcast(prepare(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for block in common.blocks(batches, "text"):
-                sizes, spans, names, nulls, most = [], [], [], [], []
-                known = (block.column(c).to_pylist() for c in ("spans", "names", "nulls", "most"))
-                for old_spans, old_names, old_nulls, old_most, (n, flags, own, best, _) in zip(*known, scan(block, q)):
-                    for a, b in zip(old_spans[::2], old_spans[1::2]):
-                        flags[a:b] = True
-                    sizes.append(n)
-                    spans.append(np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).tolist())
-                    names.append(old_names + [q.ids[i] for i in own if q.ids[i] is not None])
-                    nulls.append(old_nulls + sum(q.ids[i] is None for i in own))
-                    most.append(max(old_most, best))
-                rest = [pa.array(c, t) for c, t in zip((sizes, spans, names, nulls, most), kinds[2:])]
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("text"), *rest], names=columns)
-
-        found = found.mapInArrow(run, schema)
-    places = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
-    covered = F.when(F.size("spans") == 0, F.lit(0)).otherwise(F.aggregate(places, F.lit(0).cast("long"), lambda n, i: n + F.col("spans")[2 * i + 1] - F.col("spans")[2 * i]))
-    # The names are sorted as in one pass, by code points.
-    return found.select("doc_id", F.col("n").alias("n_words"), covered.cast("long").alias("n_hit"), "names", "nulls", F.col("most").alias("longest_match")).select(
-        "doc_id", "n_words", "n_hit", (F.size("names") + F.col("nulls")).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("names"), ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match",
-    )
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = 5) -> DataFrame:
-    """The longest verbatim match of each document, where it has `least` words or more: doc_id, item_id, item_word, doc_word, words."""
-    spark = docs.sparkSession
-    common.arrow_limits(spark)
+    common.arrow_limits(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id string, item_word long, doc_word long, words long"
-    out = None
-    for items in benchmark_blocks(benchmark, "item_id", "text"):
-        shared = spark.sparkContext.broadcast(prepare(items, least))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for block in common.blocks(batches, "text"):
-                found = [(d, q.ids[w[0]], w[1], w[2], best) for d, (_, _, _, best, w) in zip(block.column("doc_id").to_pylist(), scan(block, q)) if best >= least]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()])], names=[x.split()[0] for x in schema.split(", ")])
-
-        part = chosen.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    shared = _shared(benchmark, least, "item_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text"):
+            found = [(d, *f.place, f.longest) for d, f in zip(block.column("doc_id").to_pylist(), _scanned(block, shared, least)) if f.longest >= least]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()])], names=[x.split()[0] for x in schema.split(", ")])
+
+    return chosen.mapInArrow(run, schema)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents that hold a window of the benchmark; all columns stay as they are."""
-    spark = docs.sparkSession
-    common.arrow_limits(spark)
-    blocks = list(benchmark_blocks(benchmark, "item_id", "text"))
-    for items in blocks:
-        shared = spark.sparkContext.broadcast(prepare(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for block in common.blocks(batches, "text"):
-                clean = pa.array([not flags.any() for _, flags, _, _, _ in scan(block, shared.value)], pa.bool_())
-                yield block.filter(clean)
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    common.arrow_limits(docs.sparkSession)
+    shared = _shared(benchmark, window, "item_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in common.blocks(batches, "text"):
+            yield block.filter(pa.array([not f.flags.any() for f in _scanned(block, shared)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
