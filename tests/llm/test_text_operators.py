@@ -207,3 +207,28 @@ def test_expectation_maximisation_finds_accuracies():
     patterns, weights = np.unique(votes, axis=0, return_counts=True)
     accuracy, share, posterior = quality.expectation_maximisation(patterns, weights.astype(float))
     assert abs(share - 0.8) < 0.03 and np.abs(accuracy[:, 0] - sensitivity).max() < 0.05
+
+
+def test_packed_automata_are_small_and_right():
+    import random
+
+    rnd = random.Random(6)
+    for alphabet, size in (("ab", 300), ("abcdefghij ", 4000), ([chr(0x4E00 + i) for i in range(2500)], 9000)):
+        sequence = [ord(c) - ord(alphabet[0]) if len(alphabet) > 20 else alphabet.index(c) for c in rnd.choices(alphabet, k=size)]
+        automaton = langid.SuffixAutomaton(sequence)
+        width = len(alphabet) + 1
+        base, owner, target = automaton.packed(width)
+        assert len(owner) <= 4 * sum(map(len, automaton.next)) + 2 * width
+        for state, moves in enumerate(automaton.next):
+            for symbol in range(min(width, 40)):
+                cell = base[state] + symbol
+                assert (target[cell] if owner[cell] == state else 0) == moves.get(symbol, 0)
+
+
+def test_ties_go_to_the_first_language(spark):
+    own = [(i, "same words in both", lang, "s", None, "", "", 0) for i, lang in enumerate(["zz", "aa", "zz"])] + [(None, "same words " * 500, None, "s", None, "", "", 0)]
+    docs = spark.createDataFrame(own, SCHEMA)
+    got = langid.identified(docs, langid.fitted(docs)).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("aa", 0.0)} and len(got) == 4
+    longest = spark.createDataFrame([(1, "a long text of its own " * 9000, "xx", "s", None, "", "", 0)], SCHEMA)
+    assert [len(t) for t in langid.sample(longest)["xx"]] == [23 * 9000]
