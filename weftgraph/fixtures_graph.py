@@ -5,9 +5,12 @@ Every definition has the same meaning in Spark and in the SQL of ORACLE, so quer
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .functions.scalars import strings
+from .work import stored
 
 ORACLE = {
     "star_nodes": """
@@ -32,7 +35,7 @@ ORACLE = {
         SELECT 'supply_' || (s_suppkey % 60) AS impl_name, 'supply_' || ((s_suppkey + 1) % 60) AS super_name, CASE WHEN s_suppkey % 2 = 0 THEN 'Implements' ELSE 'Extends' END AS kind, 'r0/n0' AS file_path FROM supplier WHERE s_suppkey % 4 = 0""",
     "chain_edges": """
         SELECT DISTINCT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst FROM (
-          SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') WHERE dst IS NOT NULL AND src <> dst""",
+          SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderkey) AS dst FROM orders) WHERE dst IS NOT NULL AND src <> dst""",
     "chain_nodes": "SELECT src AS id FROM chain_edges UNION SELECT dst FROM chain_edges",
     "commits": "SELECT DISTINCT CAST(user_id AS VARCHAR) || '@' || CAST(date_trunc('day', ts) AS VARCHAR) AS commit_id, event_type || '_' || CAST(event_id % 12 AS VARCHAR) AS file_path FROM events",
     "sup": "SELECT s_suppkey AS s, n_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey",
@@ -64,8 +67,25 @@ def oracle(body: str) -> str:
     return f"WITH {', '.join(views)} {body}" if views else body
 
 
+#: Projections written once for an application and folder of tables: a graph is stored, then queried.
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(build):
+    """The method's rows, stored when they are first asked for."""
+
+    @functools.wraps(build)
+    def read(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, build.__name__)
+        if key not in _kept:
+            _kept[key] = stored(self.spark, build(self), build.__name__)
+        return _kept[key]
+
+    return read
+
+
 class Tables:
-    """The views as DataFrames over one folder of tables."""
+    """The views as DataFrames over one folder of tables; the larger ones are stored on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -76,6 +96,7 @@ class Tables:
     def _home(self) -> DataFrame:
         return self.read("nation").select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey").alias("home"))
 
+    @kept
     def nodes(self) -> DataFrame:
         key = lambda kind, k: F.concat(F.lit(f"{kind}."), k)
         lines = lambda k: [(10 * F.col(k) + 1).cast("int").alias("line_start"), (10 * F.col(k) + 9).cast("int").alias("line_end")]
@@ -87,6 +108,7 @@ class Tables:
         parts = self.read("part").select(key("part", "p_partkey"), "p_name", F.lit("Class"), F.concat(F.lit("parts/"), "p_brand"), *lines("p_partkey"))
         return files.union(customers).union(suppliers).union(parts)
 
+    @kept
     def edges(self) -> DataFrame:
         key = lambda kind, k: F.concat(F.lit(f"{kind}."), k)
         defines = self.read("customer").select(key("nation", "c_nationkey").alias("src"), key("customer", "c_custkey").alias("dst")).union(self.read("supplier").select(key("nation", "s_nationkey"), key("supplier", "s_suppkey")))
@@ -96,6 +118,7 @@ class Tables:
         kind = lambda df, r, c: df.withColumns({"relation": F.lit(r), "confidence": F.lit(c)})
         return kind(defines, "Defines", "Extracted").union(kind(calls, "Calls", "Inferred")).union(kind(uses, "UsesType", "Inferred"))
 
+    @kept
     def calls(self) -> DataFrame:
         lines = self.read("lineitem").join(self.read("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
         lines = lines.join(F.broadcast(self._home()), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -114,13 +137,14 @@ class Tables:
     def inherits(self) -> DataFrame:
         return self.read("supplier").where("s_suppkey % 4 = 0").select(F.concat(F.lit("supply_"), F.col("s_suppkey") % 60).alias("impl_name"), F.concat(F.lit("supply_"), (F.col("s_suppkey") + 1) % 60).alias("super_name"), F.when(F.col("s_suppkey") % 2 == 0, "Implements").otherwise("Extends").alias("kind"), F.lit("r0/n0").alias("file_path"))
 
+    @kept
     def chain(self) -> DataFrame:
-        """Sparse cyclic graph over customers: each order leads to the next one's customer.
+        """Cyclic graph over customers: each order leads to the next one's customer.
 
         The successor is found without gathering the orders: range-partitioned rows are sorted, and the first row of
         each partition is joined to the last one of the partition before it.
         """
-        own = self.read("orders").where("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+        own = self.read("orders").select("o_orderkey", "o_custkey")
         parts = own.repartitionByRange("o_orderkey").withColumn("part", F.spark_partition_id())
         inside = W.partitionBy("part").orderBy("o_orderkey")
         led = parts.withColumn("next", F.lead("o_custkey").over(inside)).withColumn("key_next", F.lead("o_orderkey").over(inside))

@@ -151,8 +151,9 @@ def cosine(a, b) -> Column:
 
 
 def normalised(a) -> Column:
-    """L2-normalised; a zero vector stays as it is."""
-    return F.when(norm(a) > 0, F.transform(_col(a), lambda x: (x.cast("double") / norm(a)).cast("float"))).otherwise(_col(a))
+    """L2-normalised; a zero vector stays as it is. The length is computed once, not for each element."""
+    own = _col(a)
+    return F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(own, lambda x: (x.cast("double") / n).cast("float"))).otherwise(own))[0]
 
 
 def search_terms(query: str, least: int = 3, most: int = 8) -> list[str]:

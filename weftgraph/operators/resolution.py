@@ -33,7 +33,7 @@ def identified_calls(calls: DataFrame) -> DataFrame:
     """Distinct call sites with a key of their own, receiver columns and the language-independent parts."""
     own = calls.select("caller_id", "callee_name", "line", "file_path", F.col("receiver.kind").alias("kind"), F.col("receiver.name").alias("receiver_name"), "enclosing_class").distinct()
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in own.columns]
-    return own.withColumn("call_id", F.concat_ws("\x1f", *parts))
+    return own.withColumn("call_id", F.unhex(F.md5(F.concat_ws("\x1f", *parts))))
 
 
 def methods(nodes: DataFrame) -> DataFrame:
@@ -105,9 +105,6 @@ def proposals(spark: SparkSession, nodes: DataFrame, calls: DataFrame, inherits:
     functions = stored(spark, nodes.where(F.col("label").isin(*CALLABLE_LABELS)).select("id", "name", "file_path", "language"), "functions")
     callers = nodes.select(F.col("id").alias("caller_id"), F.col("language").alias("caller_language"))
 
-    def up(wanted: DataFrame) -> DataFrame:
-        return resolved_members(spark, wanted, members, above)
-
     def named(frame: DataFrame, justification: str, tier: int) -> DataFrame:
         return frame.select("call_id", "target", F.lit(justification).alias("justification"), F.lit(tier).alias("tier_no"))
 
@@ -123,7 +120,7 @@ def proposals(spark: SparkSession, nodes: DataFrame, calls: DataFrame, inherits:
 
     def through(frame: DataFrame) -> DataFrame:
         classes = types_of(frame.select("call_id", "file_path", "type_name"), nodes, targets)
-        return up(frame.select("call_id", F.col("callee_name").alias("name")).join(classes, "call_id"))
+        return frame.select("call_id", F.col("callee_name").alias("name")).join(classes, "call_id")
 
     bare = own.where("kind = 'Bare'")
     shadows = variables.select("caller_id", F.col("var_name").alias("callee_name")).distinct()
@@ -135,9 +132,17 @@ def proposals(spark: SparkSession, nodes: DataFrame, calls: DataFrame, inherits:
     go = functions.where("language = 'go'").select(directory("file_path").alias("dir"), F.col("name").alias("callee_name"), F.col("id").alias("target"))
     package = bare.where("caller_language = 'go'").withColumn("dir", directory("file_path")).join(go, ["dir", "callee_name"])
     alone = only_one(functions.select(F.col("name").alias("callee_name"), F.col("id").alias("target")), ["callee_name"], "target")
+    # A call has one kind of receiver, so all members are looked up in one walk.
+    climbs = [(this, "SelfThisMember", 1), (through(by_field), "FieldTypeMember", 1), (through(by_local), "LocalVarType", 1), (through(unhidden), "FieldTypeMember", 2), (implicit, "SelfThisMember", 1)]
+    wanted = None
+    for frame, justification, tier in climbs:
+        own_rows = frame.select("call_id", "class_id", "name", F.lit(justification).alias("justification"), F.lit(tier).alias("tier_no"))
+        wanted = own_rows if wanted is None else wanted.unionByName(own_rows)
+    wanted = stored(spark, wanted, "wanted")
+    found = resolved_members(spark, wanted, members, above)
+    climbed = found.join(wanted.select("call_id", "justification", "tier_no").distinct(), "call_id").select("call_id", "target", "justification", "tier_no")
     tiers = [
-        named(up(this), "SelfThisMember", 1), named(through(by_field), "FieldTypeMember", 1), named(through(by_local), "LocalVarType", 1), named(through(unhidden), "FieldTypeMember", 2),
-        named(up(implicit), "SelfThisMember", 1), named(same_file, "SameFileUnique", 2), named(only_one(imported, CALL_KEY, "target"), "ImportNarrowed", 3),
+        climbed, named(same_file, "SameFileUnique", 2), named(only_one(imported, CALL_KEY, "target"), "ImportNarrowed", 3),
         named(only_one(package, CALL_KEY, "target"), "PackageScope", 4), named(bare.join(alone, "callee_name"), "GlobalUnique", 5),
     ]
     whole = tiers[0]

@@ -7,11 +7,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scalars import is_test_path, risk, risk_tier
+from ..work import stored
 from .coverage import test_evidence
 from .lookups import degrees
 
 #: Names that a runtime calls by convention: fixed values.
-EXCLUDED_NAMES = ("main", "init", "new", "default", "constructor", "setUp", "tearDown", "setup", "teardown", "__init__", "__new__", "__call__", "__enter__", "__exit__")
+EXCLUDED_NAMES = ("main", "init", "new", "setup", "run", "constructor")
 #: Reference kinds that stand where a symbol is defined.
 DEFINITION_KINDS = ("public_export", "ffi_export", "macro_registration", "framework_registration")
 
@@ -52,7 +53,12 @@ def review_rows(nodes: DataFrame, edges: DataFrame, calls: DataFrame, changed: D
     """Symbols of the changed paths (column file_path) with fan-in, tests, risk and tier, the riskiest first."""
     own = nodes.where("label IN ('Function', 'Method')").join(changed.select("file_path").distinct(), "file_path", "left_semi")
     complexity = F.coalesce(F.col("complexity"), F.lit(1)) if "complexity" in nodes.columns else F.lit(1)
-    joined = own.join(degrees(edges), "id", "left").join(test_evidence(nodes, edges, calls), "id", "left").fillna({"fan_in": 0, "fan_out": 0, "evidence": "None"})
+    # Only what leads to these symbols, and sites of their names, is looked at.
+    wanted = stored(nodes.sparkSession, own.select("id", "name", "label"), "review")
+    led = edges.join(wanted.select(F.col("id").alias("dst")), "dst", "left_semi")
+    sites = calls.join(wanted.select(F.col("name").alias("leaf_name")).distinct(), "leaf_name", "left_semi")
+    fans = degrees(led).join(wanted, "id", "left_semi").select("id", "fan_in")
+    joined = own.join(fans, "id", "left").join(test_evidence(wanted, led, sites), "id", "left").fillna({"fan_in": 0, "evidence": "None"})
     value = risk("fan_in", complexity, "evidence")
     return joined.select("id", "name", "file_path", "fan_in", "evidence", value.alias("risk"), risk_tier(value).alias("tier")).orderBy(F.desc("risk"), "id")
 
@@ -110,7 +116,7 @@ def rename_plan(spark: SparkSession, nodes: DataFrame, coverage: DataFrame, file
     if not coverage.where(F.col("callee_name") == old).where("dropped > 0").isEmpty():
         return [], "unresolved call sites"
     pattern = rf"(?<![\w$]){re.escape(old)}(?![\w$])"
-    found = files.where(F.col("text").rlike(pattern)).select("file_path", F.regexp_count("text", F.lit(pattern)).alias("found"), F.regexp_replace("text", pattern, new).alias("text"))
+    found = files.where(F.col("text").rlike(pattern)).select("file_path", F.regexp_count("text", F.lit(pattern)).alias("found"), F.regexp_replace("text", pattern, re.sub(r"([\\$])", r"\\\1", new)).alias("text"))
     loose = found.join(accounted, "file_path", "left").where("found <> coalesce(n, 0)")
     if not loose.isEmpty():
         return [], "identifiers that the graph does not explain"

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import graph, incremental, resolution
-from ..operators.lookups import defines_edges, degrees, without_dangling
+from ..operators import graph, incremental, resolution, vectors
+from ..operators.lookups import cochange_pairs, defines_edges, degrees, without_dangling
+from ..sources.files import document_nodes
 from ..sources.parser import parsed
 from ..store import GraphStore
 from ..work import stored
@@ -103,3 +104,34 @@ def index(store: GraphStore, files: DataFrame, project: str, analytics: bool = T
         analyse(store)
     store.upsert("manifest", _listing(files).select("file_path", "sha256", "mtime"))
     return store.commit()
+
+
+def ingest(store: GraphStore, documents: DataFrame) -> int:
+    """Documents (source, text) as searchable nodes, one for each chunk; those of a source replace its earlier ones."""
+    own = document_nodes(documents).withColumn("metadata", F.create_map(F.lit("text"), F.col("text"), F.lit("content_type"), F.lit("text")))
+    rows = own.withColumn("doc_text", F.substring("text", 1, 8000)).drop("text")
+    store.save_by_file("nodes", rows, documents.select(F.col("source").alias("file_path")))
+    return store.commit()
+
+
+def history(store: GraphStore, commits: DataFrame) -> int:
+    """Files that change together, from (commit_id, file_path) rows."""
+    store.replace("cochanges", cochange_pairs(commits))
+    return store.commit()
+
+
+def embed(store: GraphStore, embedder: vectors.Embedder, model: str, changed: DataFrame | None = None) -> int:
+    """Vectors of all nodes but files, or of those in changed files (file_path), stamped with the model's name.
+
+    Another model than the stamped one embeds everything again.
+    """
+    nodes = store.table("nodes").withColumn("text", F.try_element_at("metadata", F.lit("text")))
+    if changed is not None and store.meta("embed_model") == model:
+        nodes = nodes.join(changed.select("file_path").distinct(), "file_path", "left_semi")
+        fresh = vectors.embedded(nodes, embedder)
+        old = store.table("vectors").join(fresh.select("id"), "id", "left_anti").join(store.table("nodes").select("id"), "id", "left_semi")
+        store.replace("vectors", old.unionByName(fresh))
+    else:
+        store.replace("vectors", vectors.embedded(nodes, embedder))
+    store.set_meta("embed_model", model)
+    return store.commit()

@@ -28,9 +28,10 @@ class Answer:
 class Navigator:
     """Tables are read once for each generation; a new one is picked up by refresh()."""
 
-    def __init__(self, store: GraphStore, embedder: vectors.Embedder | None = None, reranker=None, model: str | None = None):
-        """model: the name of the embedder's model, which has to be that of the stored vectors."""
-        self.store, self.embedder, self.reranker, self.model = store, embedder, reranker, model
+    def __init__(self, store: GraphStore, embedder: vectors.Embedder | None = None, reranker=None, model: str | None = None, listing=None):
+        """model: the name of the embedder's model, which has to be that of the stored vectors. listing: a callable that
+        gives the files as they are (file_path, mtime), to tell whether answers are fresh."""
+        self.store, self.embedder, self.reranker, self.model, self.listing = store, embedder, reranker, model, listing
         self.refresh()
 
     def refresh(self) -> None:
@@ -38,6 +39,9 @@ class Navigator:
         self.tables = {name: self.store.table(name) for name in ("nodes", "edges", "calls", "symbol_refs", "inherits", "fields", "imports", "locals", "type_refs", "cochanges", "manifest", "vectors")}
         calls = self.tables["calls"]
         self.calls = calls.withColumn("receiver_name", F.col("receiver.name"))
+        self.freshness = "Unknown"
+        if self.listing is not None:
+            self.freshness = "Fresh" if services.staleness(self.listing(), self.tables["manifest"]).isEmpty() else "Stale"
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -46,7 +50,7 @@ class Navigator:
             raise AttributeError(name) from None
 
     def _answer(self, data: DataFrame, **more) -> Answer:
-        return Answer(data, self.store.generation, **more)
+        return Answer(data, self.store.generation, **{"freshness": self.freshness, **more})
 
     def search(self, query: str, limit: int = 20, regex: bool = False) -> Answer:
         own = self.nodes.drop("doc_text", "parts").withColumn("text", F.try_element_at("metadata", F.lit("text")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .fixtures_graph import Tables
 from .functions import scalars as S
@@ -39,10 +39,9 @@ def fn_normalize_id(spark, sf):
     return Tables(spark, sf).read("pages").select("page_id", S.id_segment("url").alias("segment"))
 
 
-@query("SELECT doc_id, CASE WHEN length(list_filter(string_split_regex(lower(left(text, 400)), '[^a-z0-9]+'), lambda x: x IN ('test', 'tests', 'spec', 'specs', 'testing'))) > 0 THEN true ELSE false END AS is_test FROM documents WHERE regexp_matches(left(text, 400), '^[\\x00-\\x7F]*$') AND NOT regexp_matches(left(text, 400), '[a-z][A-Z]|[A-Z][A-Z][a-z]')")
+@query(r"SELECT doc_id, list_has_any(string_split_regex(lower(regexp_replace(regexp_replace(text, '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '(\p{Ll})(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{Nd}]+'), ['test', 'tests', 'spec', 'specs', 'testing']) AS is_test FROM documents")
 def fn_is_test_path(spark, sf):
-    own = Tables(spark, sf).read("documents").withColumn("p", F.substring("text", 1, 400))
-    return own.where(F.col("p").rlike(r"^[\x00-\x7F]*$") & ~F.col("p").rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]")).select("doc_id", S.is_test_path("p").alias("is_test"))
+    return Tables(spark, sf).read("documents").select("doc_id", S.is_test_path("text").alias("is_test"))
 
 
 @query("SELECT id, name, file_path FROM star_nodes WHERE id IN (SELECT src FROM star_edges WHERE relation = 'Calls' AND dst IN (SELECT id FROM star_nodes WHERE name = 'supply_7'))")
@@ -125,10 +124,14 @@ def unresolved_site_files(spark, sf):
     return coverage.unresolved_site_files(t.nodes(), t.calls(), t.imports(), SOME)
 
 
-@query("SELECT file_path, min(evidence) AS evidence FROM (SELECT file_path, 'call' AS evidence FROM star_calls WHERE callee_name = 'supply_8' UNION ALL SELECT file_path, 'reference' FROM star_refs WHERE leaf_name = 'supply_8' UNION ALL SELECT file_path, 'inherits' FROM star_inherits WHERE super_name = 'supply_8' UNION ALL SELECT file_path, 'import' FROM star_imports WHERE name = 'supply_8') GROUP BY file_path")
+@query("""SELECT file_path, min(evidence) AS evidence FROM (SELECT file_path, 'call' AS evidence FROM star_calls WHERE callee_name = 'supply_8' UNION ALL SELECT file_path, 'reference' FROM star_refs WHERE leaf_name = 'supply_8' UNION ALL SELECT file_path, 'inherits' FROM star_inherits WHERE super_name = 'supply_8' UNION ALL SELECT file_path, 'import' FROM star_imports WHERE name = 'supply_8'
+UNION ALL SELECT 'field/' || s, 'field' FROM sup WHERE s % 60 = 8 UNION ALL SELECT 'local/' || (s % 3), 'local' FROM sup WHERE s % 60 = 8 UNION ALL SELECT 'local/' || (s % 2), 'type' FROM sup WHERE s % 60 = 8 UNION ALL SELECT 'receiver/' || s, 'receiver' FROM sup WHERE s % 60 = 8) GROUP BY file_path""")
 def type_usages(spark, sf):
     t = Tables(spark, sf)
-    return coverage.type_usages("supply_8", t.calls(), t.refs(), t.inherits(), None, None, t.imports(), None)
+    name, eighth = "concat('supply_', s % 60)", t.sup()
+    calls = t.calls().select("callee_name", "receiver_name", "file_path").unionByName(eighth.selectExpr("'x' AS callee_name", f"{name} AS receiver_name", "concat('receiver/', s) AS file_path"))
+    own = lambda path: eighth.selectExpr(f"{name} AS type_name", f"{path} AS file_path")
+    return coverage.type_usages("supply_8", calls, t.refs(), t.inherits(), own("concat('field/', s)"), own("concat('local/', s % 3)"), t.imports(), own("concat('local/', s % 2)"))
 
 
 DEAD = "SELECT n.id, n.name, n.file_path, n.line_start FROM star_nodes n WHERE label IN ('Function', 'Method') AND NOT EXISTS (SELECT 1 FROM star_edges e WHERE e.dst = n.id AND e.relation IN ('Calls', 'Tests')) AND n.name NOT IN (SELECT callee_name FROM star_calls)"
@@ -220,15 +223,15 @@ def flow_from(spark, sf):
 
 
 @query(f"""WITH RECURSIVE w(id, depth) AS (SELECT {START}, 0 UNION SELECT e.dst, w.depth + 1 FROM w JOIN chain_edges e ON e.src = w.id WHERE w.depth < 12),
-d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id), t AS (SELECT max(id) AS id FROM d WHERE depth = 4),
+d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id), t AS (SELECT max(id) AS id, max(depth) AS depth FROM d WHERE depth = (SELECT max(depth) FROM d)),
 p AS (SELECT d.id, d.depth, (SELECT min(e.src) FROM chain_edges e JOIN d q ON q.id = e.src WHERE e.dst = d.id AND q.depth = d.depth - 1) AS parent FROM d),
-b(id, step) AS (SELECT id, 4 FROM t UNION SELECT p.parent, b.step - 1 FROM b JOIN p ON p.id = b.id WHERE b.step > 0)
+b(id, step) AS (SELECT id, depth FROM t UNION SELECT p.parent, b.step - 1 FROM b JOIN p ON p.id = b.id WHERE b.step > 0)
 SELECT CAST(step AS INTEGER) AS step, id FROM b""")
 def shortest_path(spark, sf):
     t = Tables(spark, sf)
     start = _edge(t, "src")
-    near = graph.reach(spark, t.chain(), spark.range(1).select(F.lit(start).alias("id")), 4)
-    return graph.shortest_path(spark, t.chain(), start, near.where("depth = 4").agg(F.max("id")).first()[0])
+    near = graph.reach(spark, t.chain(), spark.range(1).select(F.lit(start).alias("id")), 12)
+    return graph.shortest_path(spark, t.chain(), start, near.agg(F.max(F.struct("depth", "id"))).first()[0]["id"])
 
 
 def _ranks(damping: float, teleport: str, rounds: int = 50) -> str:
@@ -254,26 +257,29 @@ def personalized_pagerank(spark, sf):
     return graph.personalized_pagerank(spark, _vertices(t), t.chain(), [_edge(t, "src")]).select("id", F.round(F.col("rank") * 1e6, 1).alias("rank"))
 
 
-@query("""SELECT n.id, n.name, round(ln(1 + coalesce(i.c, 0)) * ln(1 + coalesce(o.c, 0)), 6) AS score FROM star_nodes n LEFT JOIN (SELECT dst, count(*) AS c FROM star_edges WHERE relation = 'Calls' GROUP BY dst) i ON i.dst = n.id
+@query("""SELECT n.id, n.name, round(ln(1 + coalesce(i.c, 0)) * ln(1 + coalesce(o.c, 0)) + (n.line_start % 7) / 8.0, 6) AS score FROM star_nodes n LEFT JOIN (SELECT dst, count(*) AS c FROM star_edges WHERE relation = 'Calls' GROUP BY dst) i ON i.dst = n.id
 LEFT JOIN (SELECT src, count(*) AS c FROM star_edges WHERE relation = 'Calls' GROUP BY src) o ON o.src = n.id WHERE n.label IN ('Function', 'Method', 'Class', 'Interface', 'Route') ORDER BY score DESC, n.id LIMIT 15""")
 def hub_important(spark, sf):
     t = Tables(spark, sf)
-    return graph.important(t.nodes(), t.nodes().select("id", F.lit(0.0).alias("rank")), _fans(t)).select("id", "name", F.round("score", 6).alias("score"))
+    return graph.important(t.nodes(), t.nodes().select("id", (F.col("line_start") % 7 / 8).alias("rank")), _fans(t)).select("id", "name", F.round("score", 6).alias("score"))
 
 
-@query("SELECT s.id, 'task' AS kind FROM (SELECT src AS id, count(*) AS c FROM star_edges WHERE relation = 'Calls' GROUP BY src) s WHERE c >= 3 AND s.id NOT IN (SELECT dst FROM star_edges WHERE relation = 'Calls')")
+@query("SELECT s.id, 'task' AS kind FROM (SELECT src AS id, count(*) AS c FROM star_edges WHERE relation = 'Calls' GROUP BY src) s WHERE c >= 3 AND s.id NOT IN (SELECT dst FROM star_edges WHERE relation = 'Calls') AND s.id NOT IN ('customer.1', 'customer.4') UNION ALL SELECT id, 'route' FROM star_nodes WHERE id IN ('customer.1', 'customer.4', 'supplier.2') UNION ALL SELECT id, 'main' FROM star_nodes WHERE name = 'supply_3'")
 def entry_points(spark, sf):
     t = Tables(spark, sf)
-    return graph.entry_points(t.nodes(), _fans(t), t.nodes().limit(0).select("id"))
+    nodes = t.nodes().withColumn("name", F.when(F.col("name") == "supply_3", "main").otherwise(F.col("name")))
+    return graph.entry_points(nodes, _fans(t), nodes.where("id IN ('customer.1', 'customer.4', 'supplier.2')").select("id"))
 
 
-@query("""WITH RECURSIVE w(entry, id, depth) AS (SELECT DISTINCT src, src, 0 FROM chain_edges WHERE length(src) = 2 UNION SELECT w.entry, e.dst, w.depth + 1 FROM w JOIN chain_edges e ON e.src = w.id WHERE w.depth < 4)
-SELECT entry, count(DISTINCT id) AS size, round(count(DISTINCT id) * ln(1 + count(DISTINCT id)), 6) AS criticality FROM w WHERE id <> entry GROUP BY entry""")
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next FROM orders), w(entry, id, depth) AS (SELECT id, id, 0 FROM o UNION ALL SELECT w.entry, o.next, depth + 1 FROM w JOIN o ON o.id = w.id WHERE w.depth < 6 AND o.next IS NOT NULL)
+SELECT CAST(entry AS VARCHAR) AS entry, count(*) AS size, round(CAST(sum(id % 4) AS DOUBLE) * ln(1 + count(*)), 6) AS criticality FROM w WHERE depth > 0 GROUP BY entry""")
 def flows_criticality(spark, sf):
-    t = Tables(spark, sf)
-    entries = t.chain().where(F.length("src") == 2).select(F.col("src").alias("id")).distinct()
-    found = graph.flows(spark, t.chain().withColumn("relation", F.lit("Calls")), entries, _vertices(t).withColumn("rank", F.lit(1.0)), depth=4)
-    return found.withColumn("criticality", F.round("criticality", 6))
+    """Every order leads to the next one of its customer; all orders are entries, with ranks from 0 to 3."""
+    orders = Tables(spark, sf).read("orders")
+    following = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    steps = orders.select(F.col("o_orderkey").cast("string").alias("src"), following.cast("string").alias("dst")).where("dst IS NOT NULL").withColumn("relation", F.lit("Calls"))
+    ids = orders.select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderkey") % 4).cast("double").alias("rank"))
+    return graph.flows(spark, steps, ids.select("id"), ids).withColumn("criticality", F.round("criticality", 6))
 
 
 @query()
@@ -375,15 +381,20 @@ def fn_unsafe_path(spark, sf):
     return Tables(spark, sf).read("pages").select("page_id", S.unsafe_path_reason("url").alias("reason"))
 
 
-@query("SELECT doc_id, CAST(1 AS INTEGER) AS n FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text, ' ' || chr(10)) <> ''")
+CHUNKS = r"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(range(1, len(ps) + 1)) AS i, unnest(list_transform(ps, lambda x: strlen(x))) AS bytes, unnest(list_transform(ps, lambda x: length(x))) AS chars FROM p),
+w(doc_id, i, used, n, chars) AS (SELECT doc_id, i, bytes, 1, chars FROM u WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN used + bytes > 1500 THEN bytes ELSE used + 2 + bytes END, CASE WHEN used + bytes > 1500 THEN n + 1 ELSE n END, u.chars FROM w JOIN u ON u.doc_id = w.doc_id AND u.i = w.i + 1)"""
+
+
+@query(f"{CHUNKS} SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN CAST(coalesce(max(w.n), 0) AS INTEGER) END AS n FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id, d.text")
 def doc_chunks(spark, sf):
-    own = Tables(spark, sf).read("documents").where(~F.contains("text", F.lit("\n\n")) & (F.trim(F.col("text"), F.lit(" \n")) != ""))
-    return own.select("doc_id", F.size(files.chunks(F.col("text"))).alias("n"))
+    """Every line as a paragraph of its own."""
+    return Tables(spark, sf).read("documents").select("doc_id", F.size(files.chunks(F.replace("text", F.lit("\n"), F.lit("\n\n")))).alias("n"))
 
 
-@query("SELECT 'doc.src_' || doc_id || '.0' AS id, 'Document' AS label, CAST(length(trim(text, ' ' || chr(10))) AS INTEGER) AS size FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text, ' ' || chr(10)) <> ''")
+@query(f"{CHUNKS} SELECT 'doc.src_' || doc_id || '.' || (n - 1) AS id, 'Document' AS label, CAST(sum(chars) + 2 * (count(*) - 1) AS INTEGER) AS size FROM w GROUP BY doc_id, n")
 def document_nodes(spark, sf):
-    own = Tables(spark, sf).read("documents").where(~F.contains("text", F.lit("\n\n"))).select(F.concat(F.lit("src-"), "doc_id").alias("source"), "text")
+    own = Tables(spark, sf).read("documents").select(F.concat(F.lit("src-"), "doc_id").alias("source"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
     return files.document_nodes(own).select("id", "label", F.length("text").alias("size"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixtures_graph import Tables
 from .operators import incremental, lookups, search, vectors
+from .plans import indexing
 from .plans.navigation import Navigator
 from .registry import query
 from .store import GraphStore
@@ -354,3 +355,44 @@ def semantic_hits(spark, sf):
     own = nodes.select("id", F.array(*((key == i).cast("float") for i in range(3))).alias("embedding"))
     found, degraded = vectors.semantic_search(nodes, own, "anything", 100_000, lambda texts: [[1.0, 0.0, 0.0]] * len(texts), "m", "m")
     return found.where(F.col("score") > 0.99).select("id", F.lit(int(not degraded)).alias("n"))
+
+
+@query("SELECT 'doc.src_' || doc_id || '.0' AS id, 'Document' AS label, CAST(length(trim(text)) AS INTEGER) AS size FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> '' AND doc_id % 50 <> 0 UNION ALL SELECT 'doc.src_' || doc_id || '.0', 'Document', 3 FROM documents WHERE doc_id % 50 = 0")
+def ingest_documents(spark, sf):
+    """All documents as nodes of a store; every fiftieth is ingested anew with another text."""
+    t, store = Tables(spark, sf), _store(spark)
+    own = t.read("documents").select(F.concat(F.lit("src-"), "doc_id").alias("source"), "text", "doc_id")
+    indexing.ingest(store, own)
+    indexing.ingest(store, own.where("doc_id % 50 = 0").withColumn("text", F.lit("new")))
+    return store.table("nodes").select("id", "label", F.length(F.element_at("metadata", F.lit("text"))).alias("size"))
+
+
+@query("WITH p AS (SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS n FROM commits a JOIN commits b ON a.commit_id = b.commit_id AND a.file_path < b.file_path WHERE a.commit_id IN (SELECT commit_id FROM commits GROUP BY commit_id HAVING count(*) BETWEEN 2 AND 30) GROUP BY ALL HAVING count(*) >= 2) SELECT file_a, file_b, n FROM p ORDER BY n DESC, file_a, file_b LIMIT 20000")
+def ingest_history(spark, sf):
+    t, store = Tables(spark, sf), _store(spark)
+    indexing.history(store, t.commits())
+    return store.table("cochanges")
+
+
+@query("SELECT 'fn.' || s AS id, CASE WHEN s % 9 = 4 THEN 2.0 ELSE 1.0 END AS model, 'two' AS stamp FROM sup")
+def semantic_index(spark, sf):
+    """Vectors of all nodes, then again of those in a changed file, then, by another model, of all but that file's."""
+    t, store = Tables(spark, sf), _store(spark)
+    store.replace("nodes", _node_rows(t))
+    store.commit()
+    one = lambda axis: lambda texts: [[float(axis == 1), float(axis == 2)]] * len(texts)
+    indexing.embed(store, one(2), "one")
+    indexing.embed(store, one(1), "two", spark.createDataFrame([("f1",)], "file_path string"))
+    indexing.embed(store, one(2), "two", spark.createDataFrame([("f4",)], "file_path string"))
+    return store.table("vectors").select("id", (F.col("embedding")[0] + 2 * F.col("embedding")[1]).cast("double").alias("model"), F.lit(store.meta("embed_model")).alias("stamp"))
+
+
+@query("SELECT * FROM (VALUES ('as indexed', 'Fresh'), ('touched', 'Stale'), ('one less', 'Stale'), ('not told', 'Unknown')) x(listing, freshness)")
+def nav_freshness(spark, sf):
+    t, store = Tables(spark, sf), _store(spark)
+    listing = t.sup().selectExpr("concat('f', s) AS file_path", "'a' AS sha256", "s AS mtime")
+    store.replace("nodes", _node_rows(t))
+    store.replace("manifest", listing)
+    store.commit()
+    cases = {"as indexed": lambda: listing, "touched": lambda: listing.withColumn("mtime", F.expr("mtime + mtime % 2")), "one less": lambda: listing.where("mtime > 0"), "not told": None}
+    return spark.createDataFrame([(k, Navigator(store, listing=v).important(1).freshness) for k, v in cases.items()], "listing string, freshness string")

@@ -15,9 +15,13 @@ from ..operators.lookups import span_lookup
 
 # What is read as code and as documents.
 CODE_EXTENSIONS = ("rs", "py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "mts", "cts", "tsx", "go", "swift", "kt", "kts", "java", "c", "h", "cpp", "cc", "cxx", "hpp", "hh", "hxx", "rb", "cs", "sh", "bash")
-DOCUMENT_EXTENSIONS = ("md", "markdown", "mdx", "txt", "rst", "adoc", "html", "htm", "pdf", "org", "tex", "csv", "json")
-SKIPPED_FOLDERS = ("node_modules", ".git", "target", "dist", "build", "vendor", ".venv", "venv", "__pycache__", ".next", "coverage")
-LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "go.sum")
+DOCUMENT_EXTENSIONS = ("md", "markdown", "mdx", "rst", "adoc", "asciidoc", "txt", "strings", "stringsdict", "po", "xliff", "xlf", "arb")
+LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "Cargo.lock", "Gemfile.lock", "go.sum", "podfile.lock")
+SKIPPED_FOLDERS = (
+    "target", "node_modules", ".venv", "venv", "env", "Pods", "build", "dist", ".git", ".gradle", ".next", ".nuxt", "__pycache__", ".cache", "DerivedData", "vendor",
+    ".idea", ".vscode", "out", ".dart_tool", ".mypy_cache", ".pytest_cache", ".tox", "bin", "obj", ".svn", ".hg", ".terraform", "coverage", "Carthage", ".bundle",
+    "bower_components", ".yarn", ".pnp",
+)
 MOST_BYTES = 1_500_000
 CHUNK_BYTES, NAME_CHARS = 1500, 60
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import leaf_name, subwords
 from ..work import stored
+from . import braces
 
 _RECEIVER = "struct<kind:string,name:string>"
 EVIDENCE = {
@@ -148,6 +149,9 @@ class _Python(ast.NodeVisitor):
             self.reference(item.value, "function_value")
         self.generic_visit(item)
 
+    def visit_Import(self, item: ast.Import) -> None:
+        self.out["imports"] += [(self.path, a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0]) for a in item.names]
+
     def visit_ImportFrom(self, item: ast.ImportFrom) -> None:
         module = "." * item.level + (item.module or "")
         self.out["imports"] += [(self.path, a.asname or a.name, module) for a in item.names]
@@ -225,6 +229,18 @@ def _script(project: str, path: str, text: str) -> dict[str, list]:
             if kind_at(j) == "text":
                 out["imports"] += [(path, name, value(j)) for name in names]
                 i = j
+        elif kind == "word" and word == "export" and value(i + 1) in ("{", "*"):
+            # names that another module is asked for: export { a, b as c } from "m", export * as n from "m"
+            j, names = i + 1, []
+            while j < n and kind_at(j) != "text" and value(j) != ";":
+                if value(j) == "}" and value(j + 1) != "from":
+                    break
+                if kind_at(j) == "word" and value(j) not in ("from", "type", "as"):
+                    names = [*(names[:-1] if value(j - 1) == "as" else names), value(j)]
+                j += 1
+            if kind_at(j) == "text":
+                out["imports"] += [(path, name, value(j)) for name in names]
+            i = j
         elif kind == "word" and word in ("class", "interface") and kind_at(i + 1) == "word":
             pending = (value(i + 1), "Class" if word == "class" else "Interface", at)
             j, how = i + 2, None
@@ -289,7 +305,7 @@ def parse_file(project: str, path: str, text: str) -> dict[str, list]:
         out = _script(project, path, text)
         language = "typescript" if re.search(r"\.[mc]?tsx?$", path) else "javascript"
     else:
-        language = path.rsplit(".", 1)[-1]
+        language = braces.read(path, text, out, _id(project, path), lambda *names: _id(project, path, *names), _receiver) or path.rsplit(".", 1)[-1]
     out["nodes"].insert(0, (_id(project, path) + ".file", path.split("/")[-1], "File", language, path, 1, text.count("\n") + 1, None, None))
     return out
 
