@@ -1,5 +1,10 @@
 """A training-data pipeline over the corpus operators: filter by quality, cut repeated lines, drop near copies and
 benchmark text, encode. Every stage works on all that its predecessor kept; the first four return the table's columns.
+
+Nulls: a document with a null text or key goes through all stages like any other and is encoded to no ids. Empty texts
+stay, also those that a stage empties. Rows that are repeated whole stay or go together. Texts of any length are read
+whole, and columns of any name pass through, but for token_ids and n_tokens, which the last stage replaces. Ties: of a
+group of copies the smallest doc_id stays. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -9,6 +14,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftgraph import work
 from weftgraph.llm import bpe, common, decontam, lines, minhash, quality
 
 
@@ -46,10 +52,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over documents, each result written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """The stages one after the other over documents, each result written to the shared folder and read again.
+
+    What a stage stores on its way, and the result before it, are deleted when its own result is written.
+    """
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with work.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            work.removed(spark, before)
+        before = out
     return docs
