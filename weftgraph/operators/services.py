@@ -11,8 +11,8 @@ from ..work import stored
 from .coverage import test_evidence
 from .lookups import degrees
 
-#: Names that a runtime calls by convention: fixed values.
-EXCLUDED_NAMES = ("main", "init", "new", "setup", "run", "constructor")
+#: Names that a runtime calls by convention; `run` is none of them here, as it is a plain name in most code.
+EXCLUDED_NAMES = ("main", "init", "new", "setup", "constructor")
 #: Reference kinds that stand where a symbol is defined.
 DEFINITION_KINDS = ("public_export", "ffi_export", "macro_registration", "framework_registration")
 
