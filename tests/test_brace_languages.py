@@ -126,6 +126,18 @@ def test_methods_belong_to_their_class():
     assert ("p.a.repo.save", "i", "Item", "A.java") in parse_file("p", "A.java", CASES["A.java"][0])["locals"]
 
 
+def test_ruby_and_shell():
+    ruby = "require_relative 'lib/store'\nclass Repo < Base\n  def save(x) # put(x)\n    if x > 0 && ok?(x)\n      @store.put(x)\n    end\n    self.check(\"no(1)\")\n  end\n  def size = 3\nend\ndef main\n  helper(1)\nend\n"
+    got = parse_file("p", "a.rb", ruby)
+    assert {(n[1], n[2], n[5], n[6], n[7]) for n in got["nodes"] if n[2] != "File"} >= {("Repo", "Class", 2, 10, None), ("save", "Method", 3, 8, 3), ("main", "Function", 11, 13, 1)}
+    assert {(c[0], c[1], c[4]) for c in got["calls"]} == {("p.a.repo.save", "ok?", ("Bare", None)), ("p.a.repo.save", "put", ("Field", "store")), ("p.a.repo.save", "check", ("SelfThis", None)), ("p.a.main", "helper", ("Bare", None))}
+    assert got["inherits"] == [("Repo", "Base", "Extends", "a.rb")] and got["imports"] == [("a.rb", "store", "lib/store")]
+    shell = "#!/bin/bash\nhelp() {\n  echo no\n}\nfunction run {\n  if help; then\n    build --all && deploy | log\n  fi\n  x=$(find_it a)\n}\nrun\n"
+    got = parse_file("p", "a.sh", shell)
+    assert {(n[1], n[2], n[5], n[6]) for n in got["nodes"] if n[2] != "File"} == {("help", "Function", 2, 4), ("run", "Function", 5, 10)}
+    assert {(c[0], c[1]) for c in got["calls"]} == {("p.a.run", c) for c in ("help", "build", "deploy", "log", "find_it")}
+
+
 @pytest.mark.parametrize("path", CASES)
 def test_broken_files_are_read_to_their_end(path):
     text = CASES[path][0]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import leaf_name, subwords
 from ..work import stored
-from . import braces
+from . import braces, lines
 
 _RECEIVER = "struct<kind:string,name:string>"
 EVIDENCE = {
@@ -305,7 +305,8 @@ def parse_file(project: str, path: str, text: str) -> dict[str, list]:
         out = _script(project, path, text)
         language = "typescript" if re.search(r"\.[mc]?tsx?$", path) else "javascript"
     else:
-        language = braces.read(path, text, out, _id(project, path), lambda *names: _id(project, path, *names), _receiver) or path.rsplit(".", 1)[-1]
+        own = (path, text, out, _id(project, path), lambda *names: _id(project, path, *names), _receiver)
+        language = braces.read(*own) or lines.read(*own) or path.rsplit(".", 1)[-1]
     out["nodes"].insert(0, (_id(project, path) + ".file", path.split("/")[-1], "File", language, path, 1, text.count("\n") + 1, None, None))
     return out
 
