@@ -5,10 +5,16 @@ string from its place on that the automaton knows; the fewer phrases a text need
 the language. The language with the fewest normalised phrases wins.
 
 Texts are read as code points: letters by their single-code-point lower case, every run of other characters as one
-space. The parse starts anew every SEGMENT symbols, so all texts of a block advance together in one numpy pass.
+space. The parse starts anew every SEGMENT symbols, so all texts of a block advance together in one numpy pass. Moves of
+an automaton are kept sparsely, so its size follows the text learned from, not the alphabet.
+
+Learned from are whole rows, never parts of them: for each language up to TRAIN_ROWS different texts and TRAIN_CHARS code
+points, those of 200 to 8,000 code points first, then shorter and then longer ones.
 
 Nulls: a null text, or one without letters, gets `und` and score 0. Rows with a null language are never learned from.
-Ties go to the language that sorts first. If nothing was learned every text is `und`. Any text length is allowed.
+Repeated rows are learned from once and get equal results. A row with a null key is judged like any other. Ties go to
+the language that sorts first. If nothing was learned every text is `und`, and an empty table gives an empty result. A
+text of any length is judged whole; a block of texts is held at a time.
 """
 
 from __future__ import annotations
@@ -21,10 +27,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import common
 
-#: Labelled rows read for each language at most (those whose hash comes first), and code points learned from them.
+#: Different labelled texts learned from for each language at most (those whose hash comes first), and their code points
+#: together: a text that would go beyond them is passed over, unless it is the first one.
 TRAIN_ROWS, TRAIN_CHARS = 64, 48_000
-#: Table cells of all automata together: with many languages each learns from fewer code points.
-MAX_CELLS = 48_000_000
 SEGMENT = 512
 
 _tables: dict[str, np.ndarray] = {}
@@ -87,36 +92,53 @@ class SuffixAutomaton:
                 self.link[q] = self.link[new] = copy
         return new
 
-    def table(self, n_symbols: int) -> np.ndarray:
-        """Row per state, column per symbol: the next state, 0 where there is none (no transition leads to the start)."""
-        out = np.zeros((len(self.next), n_symbols), np.int32)
-        for state, moves in enumerate(self.next):
+    def packed(self, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(base of each state, owner and target of each cell): the move of a state by a symbol stands in cell base + symbol
+        if the state owns that cell. States with many moves are laid out first, each at the first place of a fixed
+        pseudo-random sequence where it fits; four times as many cells as moves keep the search short."""
+        room = 4 * sum(map(len, self.next)) + n_symbols
+        owner, target, base = [-1] * (room + n_symbols), [0] * (room + n_symbols), [0] * len(self.next)
+        turn, place = 0, 0
+        for state in sorted(range(len(self.next)), key=lambda state: (-len(self.next[state]), state)):
+            moves = self.next[state]
+            if not moves:
+                break
+            tries = 0
+            while any(owner[place + symbol] >= 0 for symbol in moves):
+                turn += 1
+                h = turn * common.BASE & (1 << 64) - 1
+                place = (h ^ h >> 29) * common.BASE % (1 << 64) % room
+                if (tries := tries + 1) % 10_000 == 0:
+                    owner += [-1] * room
+                    target += [0] * room
+                    room *= 2
+            base[state] = place
             for symbol, to in moves.items():
-                out[state, symbol] = to
-        return out
+                owner[place + symbol], target[place + symbol] = state, to
+        return np.array(base, np.int32), np.array(owner, np.int32), np.array(target, np.int32)
 
 
 class Model:
     """The automata of all languages over one alphabet; symbol 0 is the space, the last one any unlearned letter."""
 
-    def __init__(self, texts: dict[str, list[str]], chars: int = TRAIN_CHARS):
+    def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
-        chars = min(chars, MAX_CELLS // (max(1, len(texts)) * 2 * 64))
         learned = []
         for language in self.languages:
             joined = "\n".join(texts[language])
             points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-            learned.append(normalised(points, np.array([len(points)]))[0][:chars])
+            learned.append(normalised(points, np.array([len(points)]))[0])
         alphabet = np.unique(np.concatenate([np.zeros(1, np.int32), *learned]))
         self.unknown = len(alphabet)
         self.symbol = np.full(0x110000, self.unknown, np.int32)
         self.symbol[alphabet] = np.arange(len(alphabet))
-        self.tables = [SuffixAutomaton(self.symbol[own].tolist()).table(self.unknown + 1) for own in learned]
+        self.tables = [SuffixAutomaton(self.symbol[own].tolist()).packed(self.unknown + 1) for own in learned]
 
-    def phrases(self, lanes: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+    def phrases(self, lanes: np.ndarray, lengths: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """Phrases that each lane (a row of symbols, the longest first) needs."""
-        width = table.shape[1]
-        flat = table.ravel()
+        base, owner, target = table
+        # From the start the moves are looked up most often: they get a table of their own.
+        begin = np.where(owner[base[0] : base[0] + self.unknown + 1] == 0, target[base[0] : base[0] + self.unknown + 1], 0)
         state = np.zeros(len(lanes), np.int64)
         count = np.zeros(len(lanes), np.int64)
         ends = np.searchsorted(-lengths, -np.arange(lanes.shape[1]), "left")  # lanes longer than the step
@@ -127,10 +149,11 @@ class Model:
                 break
             symbols = columns[step, :n]
             old = state[:n]
-            new = flat[old * width + symbols]
+            cell = base[old] + symbols
+            new = np.where(owner[cell] == old, target[cell], 0)
             broken = np.flatnonzero(new == 0)  # the phrase ends before this symbol, which begins the next one
             fresh = broken[old[broken] > 0]
-            new[broken] = flat[symbols[broken]]
+            new[broken] = begin[symbols[broken]]
             count[:n][fresh] += 1
             lost = broken[new[broken] == 0]  # a symbol that the language does not know is a phrase of its own
             count[lost] += 1
@@ -171,25 +194,38 @@ class Model:
         return [self.languages[b] if g else "und" for b, g in zip(best, good)], np.where(good, np.clip(scores, 0, 1), 0.0).tolist()
 
 
-def sample(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, list[str]]:
-    """Up to `rows` labelled texts of each language: first those of 200 to 8000 code points, by a hash of the text.
+def sample(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
+    """The texts learned from for each language, by the columns lang and text.
 
-    The ranking cuts each task's rows before the shuffle (window group limit), so a language that most rows share
-    does not gather in one task.
+    Only hashes and lengths are ranked; each task's part of the ranking is cut before the shuffle (window group limit), so
+    a language that most rows share does not gather in one task. Then the chosen texts alone are fetched.
     """
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keyed = usable.select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), (~F.length("text").between(200, 8000)).alias("odd"), F.xxhash64("text").alias("h"))
-    order = W.partitionBy("lang").orderBy("odd", "h", "text")
-    chosen = keyed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    size = F.length("text")
+    different = usable.groupBy("lang", "h").agg(F.min(F.when(size.between(200, 8000), 0).when(size < 200, 1).otherwise(size)).alias("order"), F.min(size).alias("size"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("order", "h"))
+    ranked = different.withColumn("place", place).where(F.col("place") <= rows).collect()
+    wanted = []
+    for lang in sorted({r["lang"] for r in ranked}):
+        held = 0
+        for r in sorted((r for r in ranked if r["lang"] == lang), key=lambda r: r["place"]):
+            if not held or held + r["size"] <= chars:
+                held += r["size"]
+                wanted.append((lang, r["h"]))
+    if not wanted:
+        return {}
+    # At most `rows` hashes a language.
+    chosen = labelled.sparkSession.createDataFrame(wanted, "lang string, h long")
+    texts = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for lang, text, _ in sorted(chosen.select("lang", "text", "place").collect(), key=lambda r: (r[0], r[2])):
+    for lang, _, text in sorted(texts.collect()):
         out.setdefault(lang, []).append(text)
     return out
 
 
 def fitted(labelled: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """A model of the columns lang and text."""
-    return Model(sample(labelled, rows), chars)
+    return Model(sample(labelled, rows, chars))
 
 
 def identified(docs: DataFrame, model: Model, *extra: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
