@@ -9,7 +9,8 @@ RUBY_CALL = re.compile(r"(?:([A-Za-z_@][\w.@]*)(?:\.|::|&\.))?\b([a-z_]\w*[?!]?)
 RUBY_WORDS = frozenset("if unless while until case when return puts yield and or not super defined? raise require require_relative".split())
 RUBY_BRANCH = re.compile(r"\b(?:if|unless|while|until|when|rescue)\b|&&|\|\|")
 SHELL_HEAD = re.compile(r"^(\s*)(?:function\s+([A-Za-z_][\w-]*)\s*(?:\(\))?|([A-Za-z_][\w-]*)\s*\(\))\s*\{?\s*$")
-SHELL_CALL = re.compile(r"(?:^|[;&|(]|\$\(|\b(?:then|do|else|if|while|until|!)\s)\s*([A-Za-z_][\w-]*)(?=[\s;)|&]|$)(?!\s*=|\s*\(\))")
+#: A word where a command stands; words that lead in one count as its beginning.
+SHELL_CALL = re.compile(r"(?:^|[;&|(])(?:\s*(?:then|do|else|if|elif|while|until|!)\s)*\s*([A-Za-z_][\w-]*)(?=[\s;)|&]|$)(?!\s*=|\s*\(\))")
 SHELL_WORDS = frozenset("if then else elif fi for while until do done case esac in function return local export echo printf read set unset shift exit cd test true false eval exec source trap declare readonly time".split())
 SHELL_BRANCH = re.compile(r"\b(?:if|elif|while|until|for)\b|&&|\|\|")
 
