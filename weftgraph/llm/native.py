@@ -61,7 +61,10 @@ def normal_tail(z: Column) -> Column:
     return let(z, tail)
 
 
-def chi_squared_tail(x: Column, df: int) -> Column:
+def chi_squared_tail(x: Column, df: Column | int) -> Column:
     """P(X > x) by the cube-root transformation to a normal variable."""
-    c = 2 / (9 * df)
-    return normal_tail((F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - c)) / c**0.5)
+
+    def tail(c: Column) -> Column:
+        return normal_tail((F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - c)) / F.sqrt(c))
+
+    return let(F.lit(2.0) / (9 * (F.lit(df) if isinstance(df, int) else df)), tail)
