@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by merge replay.
 
-All distinct words of a block of documents are laid out as one array of symbols. An inverted index leads from the
-rank of a possible merge to the positions where that token pair stands; the merges are replayed in rank order, and a
-merge touches only its two neighbours in the index. Words do not influence each other, so replaying block by block
+All distinct words of a block of documents are laid out as one array of symbols. An inverted index leads from each token
+pair to the positions where it stands; the merges are replayed in rank order (pairs that make the same token together),
+and a merge touches only its two neighbours in the index. Words do not influence each other, so replaying block by block
 gives the ids that one index over the whole corpus would give, in bounded memory and without a shuffle.
 
 Nulls: a null text is an empty text with no ids. Empty text: no ids. Very long texts make a block of their own.
@@ -93,30 +93,36 @@ class MergeReplay:
         pair = np.full(n, -1)  # rank of the merge of the pair that begins at each position
         open_ = np.flatnonzero(after >= 0)
         pair[open_] = self.merged(symbols[open_], symbols[open_ + 1])
-        index: dict[int, list[np.ndarray]] = {}
+        index: dict[int, list[np.ndarray]] = {}  # by token pair
+        waiting: dict[int, set[int]] = {}  # the pairs of each rank
         heap: list[int] = []
 
         def enter(places: np.ndarray) -> None:
-            ranks = pair[places]
-            places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+            places = places[pair[places] >= 0]
+            if not len(places):
+                return
+            keys = symbols[places] * self.width + symbols[after[places]]
             if len(places) > 1:
-                order = np.argsort(ranks, kind="stable")
-                places, ranks = places[order], ranks[order]
-            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
-            bounds = [0, *cuts.tolist(), len(ranks)]
-            for a, b in zip(bounds[:-1], bounds[1:]):
-                if b > a:
-                    rank = int(ranks[a])
-                    if rank in index:
-                        index[rank].append(places[a:b])
-                    else:
-                        index[rank] = [places[a:b]]
-                        heappush(heap, rank)
+                order = np.argsort(keys, kind="stable")
+                places, keys = places[order], keys[order]
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                key = int(keys[a])
+                if key in index:
+                    index[key].append(places[a:b])
+                    continue
+                index[key] = [places[a:b]]
+                rank = int(pair[places[a]])
+                if rank in waiting:
+                    waiting[rank].add(key)
+                else:
+                    waiting[rank] = {key}
+                    heappush(heap, rank)
 
         enter(open_)
         while heap:
             rank = heappop(heap)
-            parts = index.pop(rank)
+            parts = [part for key in waiting.pop(rank) for part in index.pop(key)]
             left = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
             left = left[pair[left] == rank]
             if not len(left):
@@ -129,7 +135,7 @@ class MergeReplay:
                 left = left[(place - begin) % 2 == 0]
                 right = after[left]
             if len(left) > 1 and (again := owner[left[1:]] == owner[left[:-1]]).any():
-                left = self._in_turn(rank, places, left, right, again, symbols, after, before, owner, index, heap)
+                left = self._in_turn(rank, places, left, right, again, symbols, after, before, owner, enter)
                 right = after[left]
             beyond = after[right]
             symbols[left], symbols[right], pair[right] = rank, -1, -1
@@ -143,7 +149,7 @@ class MergeReplay:
             pair[ahead] = self.merged(symbols[ahead], np.full(len(ahead), rank))
             enter(np.concatenate([left, ahead]))
 
-    def _in_turn(self, rank, places, left, right, again, symbols, after, before, owner, index, heap) -> np.ndarray:
+    def _in_turn(self, rank, places, left, right, again, symbols, after, before, owner, enter) -> np.ndarray:
         """The occurrences to merge now. Where one merge in a word brings up a pair of an earlier rank, that pair goes
         first: only the word's first occurrence is merged, the others are entered again."""
         beyond, ahead = after[right], before[left]
@@ -159,8 +165,7 @@ class MergeReplay:
             return left
         words = owner[left[early]]
         wait = np.concatenate([[False], again]) & np.isin(owner[left], words)
-        index[rank] = [places[np.isin(owner[places], words)]]
-        heappush(heap, rank)
+        enter(places[np.isin(owner[places], words)])
         return left[~wait]
 
 
@@ -203,7 +208,7 @@ def _workers(df: DataFrame, vocabulary: str, pattern: str, emit, schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Tokenizer(shared.value, pattern)
-        for block in common.blocks(batches, "text", 2 * common.BLOCK_BYTES):
+        for block in common.blocks(batches, "text"):
             yield emit(tokenizer, block)
 
     return df.mapInArrow(run, schema)
@@ -251,9 +256,12 @@ def decoded(tokens: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataF
     """tokens with a column decoded (binary): the bytes of the ids; null ids give null, an unknown id raises."""
     shared = tokens.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
-    @F.pandas_udf("binary")
-    def back(column):
-        table = {rank: token for token, rank in shared.value.items()}
-        return column.map(lambda own: None if own is None else b"".join(table[int(i)] for i in own))
+    import pandas as pd
 
-    return tokens.withColumn("decoded", back(F.col(ids)))
+    def back(columns):
+        table = {rank: token for token, rank in shared.value.items()}  # once for a task, not for a batch
+        for column in columns:
+            yield pd.Series([None if own is None else b"".join(map(table.__getitem__, own.tolist())) for own in column], dtype=object)
+
+    back.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return tokens.withColumn("decoded", F.pandas_udf(back, "binary")(F.col(ids)))
