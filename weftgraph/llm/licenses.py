@@ -8,7 +8,9 @@ leaves enough words behind it (position). Blocks that pass all three are counted
 windows those around each prefix word are counted, one for each first word that the template holds.
 
 Templates are a parameter of bounded size; documents are scanned twice and never shuffled. Nulls count as empty texts,
-which have no words. Repeated rows get equal results.
+which have no words. Repeated rows get equal results; a row with a null key is scanned like any other. Of templates that
+tie all labels are given. Texts of any length are scanned whole, an empty table gives an empty result, and only the key
+and the text of a table are read, so other columns do not matter.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ ancillary data of one MPEG-1 layer III mono frame with an empty granule (digital
 CRC-16, side information and the unit. A first frame carries the Xing table (frame and byte counts, 100 seek points),
 an ID3v2 tag the number of bytes before filling. Frame sizes follow from bit rate, sampling rate and padding alone.
 
-Nulls: a null text counts as empty. Equal texts give equal streams. Any text length is allowed; streams are made one
-at a time, so memory follows the longest text of a block.
+Nulls: a null text counts as empty, and a row with a null key gets a stream like any other. Equal texts and repeated rows
+give equal streams. Any text length is allowed; streams are made one at a time, so memory follows the longest text of a
+block. An empty table gives an empty result; only the key and the text of a table are read.
 """
 
 from __future__ import annotations
