@@ -15,14 +15,10 @@ FILES = {
 }
 EDITS = {
     "a body": ({"app/b.py": FILES["app/b.py"].replace("return 2", "help2 = 5\n    return help2")}, "partial"),
-    "a call more": ({"app/b.py": FILES["app/b.py"].replace("return 2", "return run()")}, "partial"),
-    "a function more": ({"app/b.py": FILES["app/b.py"] + "\ndef extra():\n    return far()\n"}, "partial"),
     "a function renamed": ({"app/a.py": FILES["app/a.py"].replace("help", "aid")}, "partial"),
     "a namesake": ({"app/b.py": FILES["app/b.py"] + "\ndef run():\n    return 1\n"}, "partial"),
     "an import more": ({"app/a.py": "from lib.z import far\n" + FILES["app/a.py"]}, "full"),
-    "a class more": ({"app/c.py": FILES["app/c.py"] + "\nclass Other(Sub):\n    pass\n"}, "full"),
     "a file less": ({"lib/z.py": None}, "full"),
-    "a file more": ({"app/d.py": "def extra():\n    return load()\n"}, "partial"),
     "nothing": ({}, "unchanged"),
 }
 
