@@ -138,10 +138,15 @@ def learn(data: np.ndarray, offsets: np.ndarray, shares: np.ndarray, target: np.
         out = np.zeros(BUCKETS + DENSE + 1)
         out[-1] = 5.0
         return out
-    slot = np.repeat(np.arange(n), np.diff(offsets)) * BUCKETS + _hashed(data, offsets)
-    cells, count = np.unique(slot, return_counts=True)
-    row, column = cells // BUCKETS, cells % BUCKETS
-    value = count / (np.diff(offsets) + 100)[row] * SCALE
+    rows, columns, values = [], [], []
+    for a in range(0, n, 100):  # some texts at a time: the trigrams of all would take many times their size
+        own = offsets[a : a + 101]
+        slot = np.repeat(np.arange(len(own) - 1), np.diff(own)) * BUCKETS + _hashed(data[own[0] : own[-1]], own - own[0])
+        cells, count = np.unique(slot, return_counts=True)
+        rows.append(a + cells // BUCKETS)
+        columns.append(cells % BUCKETS)
+        values.append(count / (np.diff(own) + 100)[cells // BUCKETS] * SCALE)
+    row, column, value = (np.concatenate(x) for x in (rows, columns, values))
     dense = shares * DENSE_SCALE
     good, bad = max(target.sum(), 1.0), max((1 - target).sum(), 1.0)
     cost = (target / good + (1 - target) / bad) / 2
@@ -194,12 +199,16 @@ def fitted(docs: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id", text: s
     column = learned.column("text").combine_chunks() if learned.num_rows else pa.array([], pa.string())
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     data, offsets = common.utf8(column)
-    measured = measures(data, offsets)
-    own = votes(*measured).astype(np.int8)
+    shares, own = np.zeros((0, DENSE)), np.zeros((0, len(LABELLERS)), np.int8)
+    for block in common.blocks(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", common.BLOCK_BYTES // 2):
+        measured = measures(*common.utf8(block.column("text")))
+        shares, own = np.concatenate([shares, measured[1]]), np.concatenate([own, votes(*measured).astype(np.int8)])
     # A text on which no labeller votes teaches nothing: it counts as good, like the documents that the filter keeps.
     target = np.array([known.get(p.tobytes(), 1.0) if p.any() else 1.0 for p in own])
     report = {"share_good": share, "accuracies": dict(zip(LABELLERS, accuracy.tolist()))}
-    return learn(data, offsets, measured[1], target), report
+    weights = learn(data, offsets, shares, target)
+    common.give_back()
+    return weights, report
 
 
 def _score(batch: pa.RecordBatch, weights: np.ndarray) -> np.ndarray:
