@@ -6,9 +6,9 @@ runs about its middle, and lag-1 serial correlation; Fisher's rule combines thei
 token is structured text; tokens above a limit are reported as spans of kind `random`, unless a base span covers them.
 
 The limit bounds the false discoveries, structured tokens among the reported ones, within each encoding and length class
-(powers of two): how often text of this corpus passes is measured on one string of letters and digits from a hash-chosen
-place of every document; the tokens at or below LEAST give the number of structured ones. The limit is the lowest
-p-value at which the structured tokens expected above it are Q of all tokens above it at most.
+(powers of two): how often text of this corpus passes is counted on all letters of every text, cut end to end into strings
+of letters with digits behind them; the tokens at or below LEAST give the number of structured ones. The limit is the
+lowest p-value at which the structured tokens expected above it are Q of all tokens above it at most.
 
 Two scans, no shuffle of texts: the first only counts p-values. Nulls count as empty texts. An empty text has no spans.
 Texts of any length are scanned whole; repeated rows get equal results and count each; an empty table gives none.
@@ -42,6 +42,8 @@ BINS, MOST_CLASS = 240, 12
 #: Lengths of the strings that show how text passes, from and to: the short ones of two length classes, as short text
 #: passes more often. Longer tokens are judged like the longer ones of these.
 TEXT_LENGTHS = ((20, 25), (32, 39))
+#: (encoding, length, digits at the end) of these strings, in turn. The first ones are the shortest.
+TEXT_FORMS = [(e, n, 4 if n == 20 else (n + i) % 4 + 1) for a, b in TEXT_LENGTHS for n in range(a, b + 1) for i, e in enumerate(("base32", "base36", "base64"))]
 
 
 def _spans(text: Column, pattern: str, kind: int, good=None) -> Column:
@@ -126,22 +128,45 @@ def _tested(text: Column) -> Column:
 
 
 def _as_text(text: Column) -> Column:
-    """array of at most one struct<stratum, bin>: letters from a hash-chosen place, with digits behind them, as a token."""
-    most = TEXT_LENGTHS[-1][1]
-
-    def own(h: Column) -> Column:
-        part = F.substring(text, (1 + h % F.greatest(F.length(text) - 8 * most, F.lit(1))).cast("int"), F.lit(8 * most))
-        sizes = F.array(*(F.lit(n) for a, b in TEXT_LENGTHS for n in range(a, b + 1)))
-        size = F.element_at(sizes, ((h / 7).cast("long") % F.size(sizes) + 1).cast("int"))
-        digits = F.substring(F.lpad(((h / 11).cast("long") % 10_000).cast("string"), 4, "0"), F.lit(1), F.lit(1) + (h % 4).cast("int"))
-        letters = F.substring(F.lower(F.regexp_replace(part, "[^A-Za-z]+", "")), F.lit(1), size - F.length(digits))
-        encoding = F.element_at(F.array(F.lit("base32"), F.lit("base36"), F.lit("base64")), (h % 3 + 1).cast("int"))
-        word = F.when(encoding == "base32", F.translate(F.concat(F.upper(letters), digits), "0189", "2345")).otherwise(F.concat(letters, digits))
-        made = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), word.alias("word"), encoding.alias("encoding"))
-        return F.when(F.length(letters) + F.length(digits) == size, F.transform(F.array(made), _judged))
-
-    nothing = F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int>>")
-    return F.coalesce(let(F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)), own), nothing)
+    """array of struct<stratum, bin>: all letters of the text in strings of TEXT_FORMS in turn, as tokens.
+
+    A hash chooses the form that a text begins with. The last string ends with the text and may overlap the one before;
+    a text of fewer letters than the shortest string has none.
+    """
+    sizes = [n - d for _, n, d in TEXT_FORMS]
+    turns, whole = len(sizes), sum(sizes)
+    listed = lambda values: F.array(*(F.lit(v) for v in values))
+    begins, taken = listed(sum((sizes * 2)[:k]) for k in range(2 * turns)), listed(sizes)
+    encodings, digits = listed(e for e, _, _ in TEXT_FORMS), listed(d for _, _, d in TEXT_FORMS)
+
+    def judged(letters: Column, form: Column) -> Column:
+        def named(x: Column) -> Column:
+            number = F.substring(F.lpad((F.xxhash64(x["letters"]).bitwiseAND(F.lit((1 << 62) - 1)) % 10_000).cast("string"), 4, "0"), F.lit(1), digits[form])
+            word = F.when(x["encoding"] == "base32", F.translate(F.concat(F.upper(x["letters"]), number), "0189", "2345")).otherwise(F.concat(x["letters"], number))
+            return let(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), word.alias("word"), x["encoding"].alias("encoding")), _judged)
+
+        return let(let(F.struct(letters.alias("letters"), encodings[form].alias("encoding")), named), lambda j: F.struct(j["stratum"].alias("stratum"), j["bin"].alias("bin")))
+
+    def strings(own: Column) -> Column:
+        """From letters and the number of the first form; a block holds each form once."""
+        letters, first = own["letters"], own["first"]
+
+        def of_block(block: Column) -> Column:
+            begun = F.filter(F.sequence(first, first + turns - 1), lambda k: begins[k] - begins[first] < F.length(block))
+
+            def string(k: Column) -> Column:
+                at, size = begins[k] - begins[first], taken[k % turns]
+                part = F.when(at + size <= F.length(block), F.substring(block, at + 1, size)).otherwise(F.substring(letters, -size, size))
+                return judged(part, k % turns)
+
+            return F.transform(begun, string)
+
+        return F.flatten(F.transform(F.regexp_extract_all(letters, F.lit(f".{{1,{whole}}}"), F.lit(0)), of_block))
+
+    letters = F.lower(F.regexp_replace(text, "[^A-Za-z]+", ""))
+    # Short texts begin with the shortest strings, so that these reach all their letters.
+    own = lambda x: F.struct(x.alias("letters"), F.when(F.length(x) < max(sizes), 0).otherwise(F.pmod(F.xxhash64(x), F.lit(turns))).cast("int").alias("first"))
+    return let(let(letters, own), lambda o: F.when(F.length(o["letters"]) >= min(sizes), strings(o)).otherwise(F.array().cast("array<struct<stratum:int,bin:int>>")))
 
 
 def _text(column: str) -> Column:
