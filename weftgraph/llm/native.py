@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Lengths that one partial sum covers.
 STEP = 64
@@ -48,23 +48,45 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(own, positions)).otherwise(nothing)
 
 
-def normal_tail(z: Column) -> Column:
-    """P(Z > z) of a standard normal variable, to 1e-7 (a polynomial in 1 / (1 + 0.2316419 |z|))."""
+def through(x: Column, steps: Sequence[Callable]) -> Column:
+    """The struct that the last step makes of a struct. A step gives names and columns from what the one before gave."""
+    if not steps:
+        return x
+    return let(F.struct(*(value.alias(name) for name, value in steps[0](x).items())), lambda y: through(y, steps[1:]))
 
-    def series(t: Column) -> Column:
-        return t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
 
-    def tail(x: Column) -> Column:
-        side = F.exp(-x * x / 2) * 0.3989422804014327 * let(1 / (1 + 0.2316419 * F.abs(x)), series)
-        return let(side, lambda s: F.when(x >= 0, s).otherwise(1 - s))
+def table_through(table: DataFrame, steps: Sequence[Callable], apart: Sequence[Callable] = ()) -> DataFrame:
+    """The same for the rows of a table, several times as fast, as what stands in no lambda is compiled.
 
-    return let(z, tail)
+    Spark makes one method of all steps, and the JVM compiles none above 8,000 bytes: large steps go apart, as a local
+    value keeps them out of it.
+    """
+    for step in steps:
+        columns = step(table)
+        if step in apart:
+            columns |= {name: let(value, lambda v: v) for name, value in list(columns.items())[:1]}
+        table = table.select(*(value.alias(name) for name, value in columns.items()))
+    return table
+
+
+# P(Z > z) of a standard normal variable, to 1e-7 (a polynomial in t = 1 / (1 + 0.2316419 |z|)): the side, or 1 less the side below 0.
+
+
+def tail_share(z: Column) -> Column:
+    return 1 / (1 + 0.2316419 * F.abs(z))
+
+
+def tail_side(z: Column, t: Column) -> Column:
+    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.exp(-z * z / 2) * 0.3989422804014327 * series
+
+
+# P(X > x) of a chi-squared variable by the cube-root transformation to a normal one.
 
 
-def chi_squared_tail(x: Column, df: Column | int) -> Column:
-    """P(X > x) by the cube-root transformation to a normal variable."""
+def chi_squared_spread(df: Column) -> Column:
+    return F.lit(2.0) / (9 * df)
 
-    def tail(c: Column) -> Column:
-        return normal_tail((F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - c)) / F.sqrt(c))
 
-    return let(F.lit(2.0) / (9 * (F.lit(df) if isinstance(df, int) else df)), tail)
+def chi_squared_deviation(x: Column, df: Column, spread: Column) -> Column:
+    return (F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
